@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, substring_dedup, token_counts
+from . import decontamination, mixing, substring_dedup, token_counts
 from .common import table
 
 
@@ -19,29 +19,54 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "contaminated", "item_ids", "spans", "equal")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_substring_dedup, op7_decontamination)}
+    return {f.__name__: f for f in (op2_token_counts, op4_substring_dedup, op6_mixing, op7_decontamination)}
 
 
 #: Words are cut and windows grouped by DuckDB; sha256 gives lowercase hex.
 OP4 = r"""
-with d as (select doc_id, coalesce(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> ''), []) as w from documents),
+with d as (select doc_id, coalesce(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) as w from documents),
 s as (select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as p from d),
 h as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as h from s),
 m as (select h, min(doc_id) as first from h group by h having min(doc_id) < max(doc_id)),
 g as (select distinct h.doc_id, unnest(range(p, p + 50)) as pos from h join m using (h) where h.doc_id > m.first),
 c as (select doc_id, list(pos) as gone from g group by doc_id),
 k as (select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
-        case when gone is null then w else list_filter(list_transform(range(1, len(w) + 1), i -> case when list_contains(gone, i) then null else w[i] end), x -> x is not null) end as kept
+        case when gone is null then w else list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(gone, i) then null else w[i] end), lambda x: x is not null) end as kept
       from d left join c using (doc_id))
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
 """
 
 
+#: Targets by water filling; documents in the order of (block, md5) until the target; what the tree does with the blocks leaves it unchanged.
+OP6 = r"""
+with d as (select doc_id, case when source is null then '1' else '0' || source end as k, md5('mix-1:' || coalesce(doc_id::varchar, '')) as h,
+        len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size from documents),
+p as (select k, count(*) as n, sum(size)::bigint as source_size, row_number() over (order by k) - 1 as num from d group by k),
+w as (select *, case num % 3 when 0 then 5 when 1 then 2 else 1 end as w, 3 * source_size as most from p),
+l as (select *, (sum(source_size) over ())::bigint - coalesce(sum(most) over (order by most / w, num rows between unbounded preceding and 1 preceding), 0)::bigint as rest,
+        (sum(w) over (order by most / w, num rows between current row and unbounded following))::bigint as open_w from w),
+f as (select most / w as ratio, num, rest::double / open_w as level from l where rest * w <= most * open_w order by 1, 2 limit 1),
+t as (select l.*, case when f.level is null or l.most / l.w < f.ratio or (l.most / l.w = f.ratio and l.num < f.num) then l.most::double else f.level * l.w end as target
+      from l left join f on true),
+u as (select k, source_size, target, case when source_size > 0 then floor(target + 0.5)::bigint // source_size else 0 end as passes,
+        floor(target + 0.5)::bigint - (case when source_size > 0 then floor(target + 0.5)::bigint // source_size else 0 end) * source_size as extra,
+        greatest(1, least(65536, ceil(n / 512)))::bigint as blocks from t),
+o as (select doc_id, size, source_size, target, passes, extra,
+        coalesce(sum(size) over (partition by d.k order by ('0x' || substr(h, 1, 8))::bigint % blocks, h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+      from d join u using (k))
+select doc_id, size, source_size, target, (size * (passes + case when before < extra and 2 * before + size <= 2 * extra then 1 else 0 end))::bigint as taken from o
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_substring_dedup": OP4}
+    return {"op4_substring_dedup": OP4, "op6_mixing": OP6}
