@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, mixing, near_dedup, substring_dedup, token_counts
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,8 +32,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "item_ids", "spans", "equal")
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_substring_dedup, op6_mixing, op7_decontamination)}
+    return {f.__name__: f for f in (op2_token_counts, op4_substring_dedup, op5_near_duplicates, op6_mixing, op7_decontamination, op8_embedding_duplicates)}
 
 
 #: Words are cut and windows grouped by DuckDB; sha256 gives lowercase hex.
