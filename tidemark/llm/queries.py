@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, mixing, near_dedup, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, mixing, near_dedup, substring_dedup, token_counts, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -37,7 +44,7 @@ def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_substring_dedup, op5_near_duplicates, op6_mixing, op7_decontamination, op8_embedding_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_substring_dedup, op5_near_duplicates, op6_mixing, op7_decontamination, op8_embedding_duplicates)}
 
 
 #: Words are cut and windows grouped by DuckDB; sha256 gives lowercase hex.
