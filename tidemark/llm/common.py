@@ -50,6 +50,14 @@ def in_chunks(docs: DataFrame, columns: list[str], chunk_chars: int, least: int
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), *columns)
 
 
+def in_chunks_by_id(docs: DataFrame, columns: list[str], others: DataFrame, chunk_chars: int, least: int = 32) -> tuple[DataFrame, DataFrame]:
+    """As in_chunks, by doc_id alone, so that the rows of ``others`` (doc_id, ...) meet theirs; rows without doc_id are dealt by their text."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = F.lit(max(least, -(-int(chars) // chunk_chars)))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return docs.select(F.pmod(F.xxhash64(own), n).alias("chunk"), *columns), others.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), n).alias("chunk"), *others.columns)
+
+
 class WordHashes(dict):
     """Word bytes -> 64-bit hash; forgets all when it holds ``limit`` words."""
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, mixing, near_dedup, substring_dedup, token_counts, toxicity
+from . import decontamination, embedding_dedup, language_id, mixing, near_dedup, quality, quotations, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,8 +47,20 @@ def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_substring_dedup, op5_near_duplicates, op6_mixing, op7_decontamination, op8_embedding_duplicates)}
+    found = (
+        op1_toxicity, op2_token_counts, op3_quotations, op4_substring_dedup, op5_near_duplicates, op6_mixing,
+        op7_decontamination, op8_embedding_duplicates, op9_language_id, op10_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: Words are cut and windows grouped by DuckDB; sha256 gives lowercase hex.
