@@ -16,19 +16,23 @@ NO_ID = np.iinfo(np.int64).max
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only in local mode and where the session names none."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if where is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        sc.setCheckpointDir(where)
+    return where
 
-    A folder of our own is set only in local mode and only where the session names none.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -118,11 +122,11 @@ def ids_of(table: pa.Table | pa.RecordBatch, name: str = "doc_id") -> np.ndarray
     return pc.fill_null(table.column(name).cast(pa.int64()), int(NO_ID)).to_numpy(**({} if isinstance(table, pa.Table) else {"zero_copy_only": False}))
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """doc_id and text of a chunk's rows in an order that depends on nothing but the rows."""
+def ordered(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """An order of a chunk's rows that depends on nothing but doc_id and text, and these two in it."""
     ids, texts = ids_of(table), texts_of(table)
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-    return ids[order], [texts[i] for i in order]
+    return order, ids[order], [texts[i] for i in order]
 
 
 def back(ids: np.ndarray) -> pa.Array:

@@ -127,10 +127,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     first word in the document, words spanned, and words equal). Items shorter than the masks must occur whole. Null and
     empty texts and items overlap nothing. Repeated documents give repeated rows; an empty benchmark clears all.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.length("text").alias("n"))
-    chars = items.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-int(chars) // (2 * block_words)))  # a word and what parts it from the next take 2 characters at least
+    blocks = _blocks(benchmark, block_words)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def matcher(shipped):
@@ -149,18 +146,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 
         return match
 
-    def one(block: int) -> DataFrame:
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = [(r.item_id, r.text) for r in mine.select("item_id", "text").collect()]  # a block: at most about block_words words
-        return text.mapInArrow(matcher(spark.sparkContext.broadcast(rows)), OUT)
+    def one(rows: list) -> DataFrame:
+        return text.mapInArrow(matcher(docs.sparkSession.sparkContext.broadcast(rows)), OUT)
 
-    found = one(0)
-    if blocks > 1:
-        keyed = text.select("doc_id", "text")
-        for b in range(1, blocks):
+    found = one(blocks[0])
+    if len(blocks) > 1:
+        for b in blocks[1:]:
             found = found.unionByName(one(b))
         # rows of one doc_id come together; a repeated row adds its own
-        copies = keyed.groupBy("doc_id").agg(F.count("*").alias("copies"))
+        copies = text.groupBy("doc_id").agg(F.count("*").alias("copies"))
         parts = found.select("doc_id", F.explode(F.arrays_zip("item_ids", "first_words", "spans", "equal")).alias("x"))
         parts = parts.groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
         found = copies.join(parts, copies["doc_id"].eqNullSafe(parts["doc_id"]), "left").select(copies["doc_id"], F.explode(F.array_repeat(F.coalesce("x", F.array()), F.col("copies").cast("int"))).alias("x"))
@@ -169,6 +163,46 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, block_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, by doc_id; no doc_id: judged like any other, together."""
-    bad = find_overlaps(docs, benchmark, least, share, masks, block_words).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` whose own text overlaps no benchmark item, all columns kept, without a shuffle: one pass over what is left for each block of items."""
+
+    def keeper(shipped):
+        held: dict = {}
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not held:
+                held["index"] = Index(shipped.value, masks)
+            index = held["index"]
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([not (x and index.overlaps(index.array(words_of(x)), least, share)) for x in texts], pa.bool_()))
+
+        return keep
+
+    for rows in _blocks(benchmark, block_words):
+        if rows:
+            docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(rows)), docs.schema)
+    return docs
+
+
+class _Blocks:
+    """Blocks of benchmark rows, fetched when they are asked for: about ``block_words`` words each at most."""
+
+    def __init__(self, items: DataFrame, n: int):
+        self.items, self.n = items, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return (self[k] for k in range(*i.indices(self.n)))
+        if i >= self.n:
+            raise IndexError
+        mine = self.items if self.n == 1 else self.items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == i)
+        return [(r.item_id, r.text) for r in mine.select("item_id", "text").collect()]
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> _Blocks:
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return _Blocks(items, max(1, -(-int(chars) // (2 * block_words))))  # a word and what parts it from the next take 2 characters at least

@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps: one document of each class; of repeated rows of it, all but one go too."""
+    """The rows of ``docs`` that near_duplicates keeps: one document of each class; rows without doc_id stay."""
     gone = near_duplicates(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     return left

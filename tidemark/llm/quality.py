@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import back, durable, ids_of, in_chunks_by_id, mixed, ordered, texts_of  # noqa: F401
+from .common import durable, in_chunks_by_id, mixed, ordered, texts_of
 from .substring_dedup import packed, unpacked
 
 ORDER = 5
@@ -100,7 +100,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         return pd.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
     def ask(key: tuple, table: pa.Table, marked: pa.Table) -> pa.Table:
-        ids, texts = ordered(table)
+        _, ids, texts = ordered(table)
         keys = np.sort(distinct(texts))
         counts = np.zeros(len(keys), np.int64)
         good = np.isin(ids, marked.column("doc_id").to_numpy())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, Rolling, WordHashes, back, in_chunks, ids_of, mixed, ordered, texts_of  # noqa: F401
+from .common import FIRST, SECOND, Rolling, WordHashes, back, in_chunks, mixed, ordered
 
 PART = "chunk long, kind int, shard long, body binary"
 
@@ -60,7 +60,7 @@ class _Chunk:
 
     def __init__(self, plan: _Plan, table: pa.Table, hashes: WordHashes, one: Rolling, two: Rolling):
         self.plan = plan
-        self.ids, texts = ordered(table)
+        self.order, self.ids, texts = ordered(table)
         self.words = [x.split() for x in texts]
         self.counts = np.array([len(x) for x in self.words], np.int64)
         self.texts = texts
@@ -110,15 +110,16 @@ class _Chunk:
         return order, order[new], np.cumsum(new) - 1
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars: int = 4_000_000, shard_windows: int = 2_000_000, keep_layout: bool = False) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text; other columns are ignored) without passages that start in earlier documents.
+def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars: int = 4_000_000, shard_windows: int = 2_000_000, keep_layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) without passages that start in earlier documents.
 
     Returns doc_id, n_words, n_removed, kept_text and removed (pairs of first word and end of each removed run, counted
-    from 0). kept_text joins the kept words by one space; with ``keep_layout`` a document that loses nothing keeps its
+    from 0), and the columns in ``carry``; others are ignored. kept_text joins the kept words by one space; with ``keep_layout`` a document that loses nothing keeps its
     text as it is. Null texts count as empty. Rows with the same doc_id do not take words from one another; a null
     doc_id counts as larger than any other. An empty table gives no rows.
     """
-    base = in_chunks(docs, ["doc_id", "text"], chunk_chars)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    base = in_chunks(docs, ["doc_id", "text", *carry], chunk_chars)
     words = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", " \t\n\r\x0b\x0c", "")) + 1)).first()[0] or 0
     plan = _Plan(width, words, depth, shard_windows)
 
@@ -203,6 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
         return pa.table({
             "doc_id": back(chunk.ids), "n_words": pa.array(chunk.counts), "n_removed": pa.array(n_removed, pa.int64()),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, pa.list_(pa.list_(pa.int32()))),
+            **{c: table.column(c).take(pa.array(chunk.order, pa.int64())) for c in carry},
         })
 
     chunks = base.groupBy("chunk")
@@ -210,7 +212,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
     firsts = chunks.cogroup(flags.groupBy("chunk")).applyInArrow(exact, PART)
     later = firsts.groupBy("kind", "shard").applyInArrow(decide, PART)
     told = flags.unionByName(later)
-    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(cut, ", ".join(["doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def _runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
