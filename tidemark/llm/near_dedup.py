@@ -53,7 +53,7 @@ def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: in
     t, alive, last, turn = np.zeros(len(h)), np.arange(len(h)), np.full(texts, np.inf), 0
     while len(alive):
         turn += 1
-        r = mixed(h[alive] + _STEP * np.uint64(turn))
+        r = mixed(h[alive] + np.uint64(turn * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         t[alive] -= np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / weight[alive]
         early = t[alive] <= last[owner[alive]]  # arrivals come in order: a shingle that is late once is done
         alive, r = alive[early], r[early]
@@ -106,7 +106,7 @@ class _Shingler:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, content (128-bit hash of the words; null: no words) and bands of each row."""
+    """doc_id, content (128-bit hash of the words; null: no words), bands, and marks (a byte for each component) of each row."""
     held: dict = {}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +121,13 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     n += len(words[-1])
                     at += 1
                 owner, h, weight = held["s"](words)
-                found = bands_of(prob_minhash(owner, h, weight, len(words), bands * rows), rows)
+                signature = prob_minhash(owner, h, weight, len(words), bands * rows)
+                found, marks = bands_of(signature, rows), (mixed(signature) >> np.uint64(56)).astype(np.uint8)
                 content = pa.array([xxhash.xxh3_128_digest(b" ".join(x)) if x else None for x in words], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-                yield pa.record_batch([batch.column(0).slice(begin, at - begin), content, lists], ["doc_id", "content", "bands"])
+                yield pa.record_batch([batch.column(0).slice(begin, at - begin), content, lists, pa.array([x.tobytes() for x in marks], pa.binary())], ["doc_id", "content", "bands", "marks"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, content binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, content binary, bands array<long>, marks binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -155,6 +156,46 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
 
 
+def rest_of_pairs(now: DataFrame, reps: DataFrame, threshold: float, components_: int, small: int = 32, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of nodes of a bucket in ``now`` (band, node, label) with different labels; in buckets of more than ``small``
+    members only those whose marks agree often enough, each in the first of the buckets that it shares."""
+    sizes = now.groupBy("band").agg(F.count("*").alias("size"))
+    sized = now.join(sizes, "band").select("band", "node", "label", "size")
+    few = sized.where(F.col("size") <= small)
+    other = few.select("band", F.col("node").alias("node2"), F.col("label").alias("label2"))
+    pairs = few.join(other, "band").where("node < node2 and label <> label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    many = sized.where(F.col("size") > small).join(reps.where("node is not null").select("node", "bands", "marks"), "node")
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    many = many.select("band", "node", "label", "bands", "marks", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    many = many.select("band", "node", "label", "bands", "marks", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    least = (threshold - 4 * (threshold * (1 - threshold) / components_) ** 0.5) * components_
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        band, i, j = (x.as_py() for x in key)
+        table = table.sort_by("node")
+        node, label, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
+        lists = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        us, vs = [], []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            agree = (marks[x][:, None, :] == marks[right][None, :, :]).sum(axis=2)
+            a, b = np.nonzero((agree >= least) & (label[x][:, None] != label[right][None, :]))
+            a, b = x[a], right[b]
+            shared = lists[a] == lists[b]
+            here = lists[a, shared.argmax(axis=1)] == band
+            if i == j:
+                here &= node[a] < node[b]
+            us.append(np.minimum(node[a[here]], node[b[here]]))
+            vs.append(np.maximum(node[a[here]], node[b[here]]))
+        empty = np.empty(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate(us) if us else empty), "b": pa.array(np.concatenate(vs) if vs else empty)})
+
+    return pairs.unionByName(many.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 3) -> DataFrame:
     """doc_id, class_id and kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -165,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     """
     signed = durable(signatures(docs, width, bands, rows))
     worded = signed.where("content is not null")
-    reps = durable(worded.groupBy("content").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")))
+    reps = durable(worded.groupBy("content").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("marks").alias("marks")))
     single = reps.where("node is not null").select("node", F.explode("bands").alias("band"))
     shared = single.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     open_ = durable(single.join(shared, "band"))
@@ -184,8 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         if turn < star_rounds:
             pairs = now.where("label <> star_label").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
         else:
-            other = now.select("band", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = now.join(other, "band").where("node < node2 and label <> label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+            pairs = rest_of_pairs(now, reps, threshold, bands * rows)
         pairs = pairs.distinct()
         pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = durable(verified(pairs, texts, width, threshold))
