@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
+from .common import components, durable, forest
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -101,22 +101,6 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links -> (node, smallest node it reaches through them), for nodes that are not the smallest."""
-    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    low = np.arange(len(nodes))
-    while True:
-        was = low.copy()
-        np.minimum.at(low, a, low[b])
-        np.minimum.at(low, b, low[a])
-        low = low[low]
-        if (low == was).all():
-            break
-    more = low != np.arange(len(nodes))
-    return nodes[more], nodes[low[more]]
-
-
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, target: float = 0.998, sample_rows: int = 20_000, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 

@@ -8,9 +8,10 @@ Similarity is the probability Jaccard index J_P; for texts that repeat no shingl
    the signature, the earliest arrival there wins, and a shingle stops once it arrives later than all components.
    Signatures of two texts agree in a component with probability J_P. Bands of components make buckets.
 3. Verification: of each bucket, the document with the most company over all buckets is compared exactly with those that
-   are not linked to it yet, whole texts on both sides; links merge classes. After ``star_rounds`` such rounds all pairs
-   of a bucket that are still in different classes are compared. So a group of n near copies takes about n comparisons
-   and not n squared, and every pair that shares a bucket is compared unless links already put it in one class.
+   are not linked to it yet, whole texts on both sides; links merge classes. So a group of n near copies of one
+   text takes about n comparisons and not n squared. After ``star_rounds`` such rounds, all pairs of a bucket that are
+   still in different classes are compared: in small buckets pair by pair; the members of large ones meet in blocks of
+   bounded size, where matrix products count common shingles, and only a spanning forest of the links leaves a block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, Rolling, WordHashes, components, durable, mixed, texts_of
+from .common import FIRST, Rolling, WordHashes, components, durable, forest, mixed, texts_of
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +107,7 @@ class _Shingler:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, content (128-bit hash of the words; null: no words), bands, and marks (a byte for each component) of each row."""
+    """doc_id, content (128-bit hash of the words; null: no words) and bands of each row."""
     held: dict = {}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +122,12 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     n += len(words[-1])
                     at += 1
                 owner, h, weight = held["s"](words)
-                signature = prob_minhash(owner, h, weight, len(words), bands * rows)
-                found, marks = bands_of(signature, rows), (mixed(signature) >> np.uint64(56)).astype(np.uint8)
+                found = bands_of(prob_minhash(owner, h, weight, len(words), bands * rows), rows)
                 content = pa.array([xxhash.xxh3_128_digest(b" ".join(x)) if x else None for x in words], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-                yield pa.record_batch([batch.column(0).slice(begin, at - begin), content, lists, pa.array([x.tobytes() for x in marks], pa.binary())], ["doc_id", "content", "bands", "marks"])
+                yield pa.record_batch([batch.column(0).slice(begin, at - begin), content, lists], ["doc_id", "content", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, content binary, bands array<long>, marks binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, content binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -156,47 +156,73 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
 
 
-def rest_of_pairs(now: DataFrame, reps: DataFrame, threshold: float, components_: int, small: int = 32, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of nodes of a bucket in ``now`` (band, node, label) with different labels; in buckets of more than ``small``
-    members only those whose marks agree often enough, each in the first of the buckets that it shares."""
-    sizes = now.groupBy("band").agg(F.count("*").alias("size"))
-    sized = now.join(sizes, "band").select("band", "node", "label", "size")
-    few = sized.where(F.col("size") <= small)
+class _Sets:
+    """Weighted shingle sets of a block's texts; similarity of many pairs at once."""
+
+    def __init__(self, shingler: _Shingler, texts: list[bytes]):
+        owner, h, weight = shingler([x.split() for x in texts])
+        self.ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.size = np.diff(self.ends)
+        self.h, self.weight = h, weight
+        self.plain = np.bincount(owner, weight, len(texts)) == self.size  # repeats no shingle: J_P is the Jaccard index
+        # only shingles that two texts of the block have can be common
+        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        keep = n[at] > 1
+        self.owner = owner[keep]
+        self.column = np.unique(at[keep], return_inverse=True)[1] if keep.any() else np.empty(0, np.int64)
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.h[self.ends[i] : self.ends[i + 1]], self.weight[self.ends[i] : self.ends[i + 1]]
+
+    def similar(self, left: np.ndarray, right: np.ndarray, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (of ``wanted``: left x right) at or above the threshold."""
+        columns = int(self.column.max()) + 1 if len(self.column) else 0
+        common, step = np.zeros((len(left), len(right)), np.float32), 20_000
+        for c in range(0, columns, step):
+            here = (self.column >= c) & (self.column < c + step)
+            m = np.zeros((len(self.size), min(step, columns - c)), np.float32)
+            m[self.owner[here], self.column[here] - c] = 1
+            common += m[left] @ m[right].T
+        jaccard = common / np.maximum(self.size[left][:, None] + self.size[right][None, :] - common, 1)
+        both = self.plain[left][:, None] & self.plain[right][None, :]
+        yes = wanted & both & (jaccard >= threshold - 1e-6)
+        for i, j in zip(*np.nonzero(wanted & ~both & (common > 0)), strict=True):
+            yes[i, j] = probability_jaccard(self.of(left[i]), self.of(right[j])) >= threshold - 1e-12
+        return np.nonzero(yes)
+
+
+def rest_of_pairs(now: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels in the buckets of ``now`` (band, node, label, size) that have at most ``small`` members."""
+    few = now.where(F.col("size") <= small).select("band", "node", "label")
     other = few.select("band", F.col("node").alias("node2"), F.col("label").alias("label2"))
-    pairs = few.join(other, "band").where("node < node2 and label <> label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    many = sized.where(F.col("size") > small).join(reps.where("node is not null").select("node", "bands", "marks"), "node")
-    many = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    many = many.select("band", "node", "label", "bands", "marks", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    many = many.select("band", "node", "label", "bands", "marks", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    least = (threshold - 4 * (threshold * (1 - threshold) / components_) ** 0.5) * components_
+    return few.join(other, "band").where("node < node2 and label <> label2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
+def links_in_blocks(now: DataFrame, texts: DataFrame, width: int, threshold: float, small: int, block: int = 256) -> DataFrame:
+    """Links (u, v) between nodes with different labels in buckets of more than ``small`` members: as many as connect what they link.
+
+    Buckets with the same first star (``anchor``) are taken together, so that members of many common buckets meet once.
+    """
+    many = now.where(F.col("size") > small).select(F.col("anchor").alias("star"), "node", "label").distinct()
+    sizes = many.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    many = many.join(sizes, "star").join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    many = many.select("star", "node", "label", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    many = many.select("star", "node", "label", "text", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    held: dict = {}
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        band, i, j = (x.as_py() for x in key)
-        table = table.sort_by("node")
+        if not held:
+            held["s"] = _Shingler(width)
         node, label, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
-        lists = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        us, vs = [], []
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            agree = (marks[x][:, None, :] == marks[right][None, :, :]).sum(axis=2)
-            a, b = np.nonzero((agree >= least) & (label[x][:, None] != label[right][None, :]))
-            a, b = x[a], right[b]
-            shared = lists[a] == lists[b]
-            here = lists[a, shared.argmax(axis=1)] == band
-            if i == j:
-                here &= node[a] < node[b]
-            us.append(np.minimum(node[a[here]], node[b[here]]))
-            vs.append(np.maximum(node[a[here]], node[b[here]]))
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(us) if us else empty), "b": pa.array(np.concatenate(vs) if vs else empty)})
-
-    return pairs.unionByName(many.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 3) -> DataFrame:
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        a, b = _Sets(held["s"], texts_of(table)).similar(left, right, label[left][:, None] != label[right][None, :], threshold)
+        u, v = forest(node[left[a]], node[right[b]])
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    return many.groupBy("star", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 2, small: int = 24) -> DataFrame:
     """doc_id, class_id and kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two texts are linked if J_P of their shingles is ``threshold`` or more; classes are what links connect, class_id the
@@ -206,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     """
     signed = durable(signatures(docs, width, bands, rows))
     worded = signed.where("content is not null")
-    reps = durable(worded.groupBy("content").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("marks").alias("marks")))
+    reps = durable(worded.groupBy("content").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")))
     single = reps.where("node is not null").select("node", F.explode("bands").alias("band"))
     shared = single.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     open_ = durable(single.join(shared, "band"))
@@ -221,19 +247,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
         per = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", -F.col("node"), F.col("label").alias("label"))).alias("star"))
         per = per.where("low <> high").select("band", (-F.col("star.col2")).alias("star"), F.col("star.label").alias("star_label"))
-        now = durable(now.join(per, "band"))  # only buckets in which classes meet
+        now = now.join(per, "band")  # only buckets in which classes meet
+        now = durable(now if turn else now.withColumn("anchor", F.col("star")))
         if turn < star_rounds:
             pairs = now.where("label <> star_label").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
         else:
-            pairs = rest_of_pairs(now, reps, threshold, bands * rows)
+            now = durable(now.join(now.groupBy("band").agg(F.count("*").alias("size")), "band"))
+            pairs = rest_of_pairs(now, small)
         pairs = pairs.distinct()
         pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = durable(verified(pairs, texts, width, threshold))
+        found = verified(pairs, texts, width, threshold)
+        found = durable(found if turn < star_rounds else found.unionByName(links_in_blocks(now, texts, width, threshold, small)))
         edges = found if edges is None else edges.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if turn == 0 or not found.isEmpty():
             labels = components(edges)
-        open_ = now.where("node <> star").select("node", "band", "degree")
+        open_ = now.where("node <> star").select("node", "band", "degree", "anchor")
         if now.isEmpty():
             break
     named = reps.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("root", "node").alias("root"))
