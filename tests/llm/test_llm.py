@@ -96,7 +96,7 @@ def test_near_duplicates(spark, small):
             w = list(base)
             for _ in range(k % 4):
                 w[rng.randrange(60)] = f"x{rng.random()}"
-            texts.append((1000 * g + k, " ".join(w)))
+            texts.append((1000 * (g + 1) + k, " ".join(w)))
     texts += [(i, t) for i, t in odd(spark) if i != 9]
     got = near_dedup.near_duplicates(corpus(spark, texts), small=small, star_rounds=1).collect()
     want = brute_near(texts)

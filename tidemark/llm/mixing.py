@@ -26,6 +26,8 @@ from .common import count_words, durable
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
+#: Columns of the results; columns of docs with these names are not carried.
+OWN = ("size", "source_size", "target", "taken", "block", "shards", "copy", "shard")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
@@ -119,7 +121,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
     null doc_id is like an empty one. The number of shards is a power of two: ``shards`` rounded up, or by default one
     for about ``shard_words`` words, 16 to 4096. An empty table gives no rows.
     """
-    carry = carry or ["doc_id"]
+    carry = [c for c in carry or ["doc_id"] if c not in OWN]
     skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     base = docs.select(F.struct(*carry).alias("row"), skey.alias("skey"), count_words(F.col("text")).alias("size"), key.alias("key"))
