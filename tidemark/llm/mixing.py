@@ -134,9 +134,12 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
     sources = sources.withColumn("extra", whole - F.col("passes") * F.col("source_size"))
     sources = durable(sources.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(65_536), F.ceil(F.col("documents") / block_docs))).cast("long")))
 
+    #: One row a source: joined by broadcast while there are few; else AQE splits hot sources.
+    near = F.broadcast(sources) if sources.count() <= 10_000 else sources
+
     def placed(rows: DataFrame, columns: list[str]) -> DataFrame:
         number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("blocks")
-        return rows.join(sources.select("skey", "blocks"), "skey").select(*columns, "skey", number.alias("block"), "size", "key")
+        return rows.join(near.select("skey", "blocks"), "skey").select(*columns, "skey", number.alias("block"), "size", "key")
 
     sums = placed(sizes, []).groupBy("skey", "block").agg(F.sum("size").alias("block_size"))
     before = F.sum("block_size").over(W.partitionBy("skey").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
