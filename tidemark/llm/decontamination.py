@@ -85,7 +85,7 @@ class Index:
                 self.short.setdefault(len(a), []).append(i)
 
     def array(self, words: list[str]) -> np.ndarray:
-        return self.hashes.array([x.encode() for x in words])
+        return self.hashes.array(words)
 
     def overlaps(self, words: np.ndarray, least: int, share: float) -> list[tuple[int, int, int, int]]:
         """(item's id, first word in the document, words spanned, words equal) of each item that overlaps, its longest."""
