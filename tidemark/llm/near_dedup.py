@@ -222,7 +222,7 @@ def links_in_blocks(now: DataFrame, texts: DataFrame, width: int, threshold: flo
     return many.groupBy("star", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 2, small: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 1, small: int = 24) -> DataFrame:
     """doc_id, class_id and kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two texts are linked if J_P of their shingles is ``threshold`` or more; classes are what links connect, class_id the
