@@ -9,12 +9,16 @@ is broadcast or collected: everything that grows with the text stays in shards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import durable, in_chunks_by_id, mixed, ordered, texts_of
 from .substring_dedup import packed, unpacked
@@ -41,6 +45,26 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each text compressed by itself, for the shuffle to chunks; null stays null."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [None if x is None else codec.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([pa.array(texts, pa.binary()) if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
+
+    return docs.mapInArrow(squeeze, StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in docs.schema]))
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """A chunk of what ``squeezed`` gave, with its texts as UTF-8 bytes."""
+    codec = zstandard.ZstdDecompressor()
+    texts = [None if x is None else codec.decompress(x) for x in table.column("text").to_pylist()]
+    return table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
+
+
 def log_probabilities(grams: DataFrame) -> DataFrame:
     """grams: shard, key and n (times seen in trusted text, 0 for n-grams that are only asked for) -> shard, key, logp."""
     levels = {ORDER: grams.select("key", F.col("n").alias("c"))}
@@ -100,7 +124,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         return pd.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
     def ask(key: tuple, table: pa.Table, marked: pa.Table) -> pa.Table:
-        _, ids, texts = ordered(table)
+        _, ids, texts = ordered(opened(table))
         keys = np.sort(distinct(texts))
         counts = np.zeros(len(keys), np.int64)
         good = np.isin(ids, marked.column("doc_id").to_numpy())
@@ -135,7 +159,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "logp": pa.array(bodies, pa.binary())})
 
     def add(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        texts = texts_of(table)
+        texts = texts_of(opened(table))
         keys = np.sort(distinct(texts))
         order, parts = sharded(keys)
         bodies = dict(zip(told.column("shard").to_pylist(), told.column("logp").to_pylist(), strict=True))
@@ -158,7 +182,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         p = np.exp(-np.array(sums) / np.maximum(n, 1))
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(n), "perplexity": pa.array(p, mask=n == 0), **{c: table.column(c) for c in keep}})
 
-    chunks = base.groupBy("chunk")
+    chunks = squeezed(base).groupBy("chunk")
     asked = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(ask, "chunk long, shard long, body binary, times binary")
     asked = durable(asked)
     grams = durable(asked.groupBy("shard").applyInArrow(merge, "shard long, key long, n long"))
