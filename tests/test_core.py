@@ -1,14 +1,17 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.durations import parse_duration
-from tidemark.operators import kv, pubsub, reads
+from tidemark.operators import kv, metrics, pubsub, reads
 from tidemark.operators.match import match, match_by_regex
-from tidemark.sources.store import Immutable, Store
+from tidemark.plans import queries as catalogue
+from tidemark.sources.store import Immutable, Store, opened, sealed, sync_totals
 from tidemark.streaming import ingest
 
 NOW = datetime(2024, 1, 31)
@@ -115,3 +118,52 @@ def test_top_k_plan(spark):
     m = spark.range(10).select((F.col("id") % 2).alias("contract"), F.col("id").alias("seq"), F.lit("a").alias("topic"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
     plan = reads.get(m, reads.Query("a", 1, 3), NOW)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_memory_first(spark):
+    disk = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, None)], "contract long, seq long, payload string")
+    memory = spark.createDataFrame([(1, 2, "B"), (1, 3, "c")], disk.schema)
+    assert sorted(map(str, map(tuple, reads.memory_first(memory, disk).collect()))) == sorted(map(str, [(1, 1, "a"), (1, 2, "B"), (1, 3, "c"), (2, 1, None)]))
+    assert reads.unseen(disk.limit(0), memory).count() == 0
+
+
+def test_message_ids(spark):
+    rows = [(9, i % 30, i // 30) for i in range(90)] + [(8, 5, 0)]
+    d = spark.createDataFrame(rows, "conn_id long, seq long, sub_id long").repartition(3)
+    got = {(r.conn_id, r.seq, r.sub_id): r.message_id for r in pubsub.message_ids(d, 7).collect()}
+    assert got[8, 5, 0] == 1 and [got[9, s, i] for s in range(30) for i in range(3)] == list(range(1, 91))
+
+
+def test_authorised(spark):
+    requests = spark.createDataFrame([(1, "k", "a.b"), (1, "k", "a.c"), (1, "all", "x"), (2, "k", "a.b"), (1, None, "a.b")], "contract long, key string, topic string")
+    keys = spark.createDataFrame([(1, "k", "a.b", 3), (1, "all", "...", 1)], "contract long, key string, target string, mask int")
+    assert sorted(tuple(r) for r in pubsub.authorised(requests, keys, 1).collect()) == [(1, "all", "x", True), (1, "k", "a.b", False)]
+    assert pubsub.authorised(requests, keys, 2).count() == 1
+
+
+def test_sealed(spark):
+    rows = spark.createDataFrame([("x",), (None,)], "payload string").withColumn("s", sealed(F.col("payload"), b"0123456789abcdef"))
+    got = rows.select(opened(F.col("s"), b"0123456789abcdef").cast("string").alias("right"), opened(F.col("s"), b"fedcba9876543210").alias("wrong")).collect()
+    assert [r.right for r in got] == ["x", None] and [r.wrong for r in got] == [None, None]
+
+
+def test_totals_and_statsd(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "xy"), (1, 2, "a", ""), (1, 3, None, "z"), (2, 4, "b", None)], "contract long, seq long, topic string, payload string")
+    assert sorted(tuple(r) for r in sync_totals(rows).collect()) == [(1, 1, 2, 2, 1), (2, 0, None, 1, None)]
+    s = spark.createDataFrame([("m", 1, 10, "a"), ("m", -2, 5, "a"), ("m", 4, None, None)], "metric string, delta long, duration_ns long, member string")
+    assert tuple(metrics.statsd(s).first()) == ("m", 3, 2, 7, 1)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no bundled tables")
+def test_queries_equal_sql(spark):
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for f in Path(d).glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    sql = catalogue.oracle_sql()
+    assert set(sql) == set(catalogue.queries())
+    for name, query in catalogue.queries().items():
+        out = query(spark, d)
+        names = sorted(out.columns)
+        want = con.execute(sql[name])
+        at = [[x[0] for x in want.description].index(c) for c in names]
+        assert sorted(str(tuple(r[i] for i in at)) for r in want.fetchall()) == sorted(str(tuple(r[c] for c in names)) for r in out.collect()), name

@@ -11,6 +11,12 @@ def topic_of(raw: Column) -> Column:
     return F.split(raw, "\\?")[0]
 
 
+def key_and_topic(raw: Column) -> tuple[Column, Column]:
+    """``key/topic?options`` taken apart; without a ``/`` both are null."""
+    parts = F.split(topic_of(raw), "/", 2)
+    return F.when(F.size(parts) == 2, parts[0]), F.get(parts, F.lit(1))
+
+
 def options_of(raw: Column) -> Column:
     """array<struct<key, value>> of the options after the first ``?``; items without both sides are left out."""
     items = F.split(F.coalesce(F.get(F.split(raw, "\\?"), F.lit(1)), F.lit("")), "&")

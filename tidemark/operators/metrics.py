@@ -17,6 +17,17 @@ def gauges(samples: DataFrame) -> DataFrame:
     return samples.groupBy("metric").agg(F.max_by("value", "ord").alias("value"))
 
 
+def statsd(samples: DataFrame) -> DataFrame:
+    """metric, total (of delta), timings, mean_ns (of duration_ns, rounded down) and members (distinct): the client's counters, timers and sets."""
+    x = F.col("duration_ns")
+    return samples.groupBy("metric").agg(F.sum("delta").alias("total"), F.count(x).alias("timings"), F.floor(F.sum(x) / F.count(x)).alias("mean_ns"), F.count_distinct("member").alias("members"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each row as a JSON object in the order of its columns."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
 def bounded(samples: DataFrame, size: int = 50) -> DataFrame:
     """The last ``size`` samples of each metric by ord."""
     return samples.withColumn("_rn", F.row_number().over(W.partitionBy("metric").orderBy(F.desc("ord")))).where(F.col("_rn") <= size).drop("_rn")

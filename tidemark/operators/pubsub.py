@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .match import match
@@ -48,6 +49,26 @@ def allowed(requests: DataFrame, flag: int) -> DataFrame:
     return requests.where(F.col("mask").bitwiseAND(flag) == flag)
 
 
+def authorised(requests: DataFrame, keys: DataFrame, flag: int) -> DataFrame:
+    """Requests (contract, key, topic) whose key (contract, key, target, mask) has the flag and is for the topic or, with target ``...``, for all; wildcard tells the latter."""
+    held = keys.where(F.col("mask").bitwiseAND(flag) == flag).select("contract", "key", "target")
+    found = requests.join(held, ["contract", "key"]).where((F.col("target") == F.col("topic")) | (F.col("target") == "..."))
+    return found.withColumn("wildcard", F.col("target") == "...").drop("target")
+
+
+def message_ids(deliveries: DataFrame, span: int = 65_536) -> DataFrame:
+    """message_id: 1, 2, ... for each conn_id by seq and sub_id.
+
+    Counts of spans of seq are added up, so that no task sorts a whole connection.
+    """
+    spans = deliveries.withColumn("_s", F.floor(F.col("seq") / span))
+    counts = spans.groupBy("conn_id", "_s").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("conn_id").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(W.partitionBy("conn_id", "_s").orderBy("seq", "sub_id"))
+    placed = spans.withColumn("_i", inner).join(counts.withColumn("_b", before).drop("_n"), ["conn_id", "_s"])
+    return placed.withColumn("message_id", F.col("_b") + F.col("_i")).drop("_s", "_i", "_b")
+
+
 def once(rows: DataFrame) -> DataFrame:
     """One row for each (contract, seq)."""
     return rows.dropDuplicates(["contract", "seq"])

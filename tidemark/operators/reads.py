@@ -76,6 +76,22 @@ def not_deleted(messages: DataFrame, tombstones: DataFrame) -> DataFrame:
     return messages.join(tombstones.select("contract", "seq"), ["contract", "seq"], "left_anti")
 
 
+def unseen(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows whose (contract, seq) the table does not hold yet."""
+    return rows.join(stored.select("contract", "seq"), ["contract", "seq"], "left_anti")
+
+
+def memory_first(memory: DataFrame, disk: DataFrame) -> DataFrame:
+    """Both parts of a table; where both hold a (contract, seq), the row in memory."""
+    return memory.unionByName(unseen(disk, memory).select(*memory.columns))
+
+
+def expired_by_minute(messages: DataFrame, now: datetime) -> DataFrame:
+    """contract, minute, messages: what has expired at ``now``, by the minute of expiry."""
+    gone = messages.where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz"))
+    return gone.groupBy("contract", F.date_trunc("minute", "expires_at").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("messages"))
+
+
 def get(messages: DataFrame, query: Query, now: datetime) -> DataFrame:
     """The newest rows of a topic: exact top-k by seq after all filters."""
     topic, cutoff, limit = query.resolve(now)

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.topics import access_mask, depth_of, is_multi, is_wildcard, levels_of, normal, option, topic_of
+from ..functions.topics import access_mask, depth_of, is_multi, is_wildcard, key_and_topic, levels_of, normal, option, topic_of
 from ..operators import kv, metrics, pubsub, reads
 from ..operators.match import match
+from ..sources import store
 from ..sources.store import conversations_as_log, events_as_messages
 
 NOW = datetime(2024, 1, 31)
@@ -166,9 +167,64 @@ def second_buckets(spark: SparkSession, d: str) -> DataFrame:
     return events_as_messages(spark, d).groupBy(F.date_trunc("second", "created_at").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("messages"))
 
 
+def kv_live_keys(spark: SparkSession, d: str) -> DataFrame:
+    return kv.keys(conversations_as_log(spark, d))
+
+
+def statsd(spark: SparkSession, d: str) -> DataFrame:
+    delta = F.when(F.col("seq") % 5 == 0, -1).otherwise(1).cast("long")
+    return metrics.statsd(events_as_messages(spark, d).select(F.col("event_type").alias("metric"), delta.alias("delta"), F.floor(F.col("value") * 1000).alias("duration_ns"), F.col("user_id").alias("member")))
+
+
+def varz_json(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.as_json(events_as_messages(spark, d).groupBy("contract").agg(F.max("seq").alias("seq"), F.count("*").alias("puts")))
+
+
+def sync_totals(spark: SparkSession, d: str) -> DataFrame:
+    return store.sync_totals(events_as_messages(spark, d).withColumn("payload", F.when(F.col("seq") % 11 > 0, F.col("payload"))))
+
+
+def sync_new(spark: SparkSession, d: str) -> DataFrame:
+    e = events_as_messages(spark, d)
+    return reads.unseen(e, e.where("seq % 3 = 0")).select("contract", "seq", "topic")
+
+
+def memory_first(spark: SparkSession, d: str) -> DataFrame:
+    e = events_as_messages(spark, d).select("contract", "seq", "payload")
+    return reads.memory_first(e.where("seq % 10 = 0").withColumn("payload", F.lit("newer")), e)
+
+
+def expired_by_minute(spark: SparkSession, d: str) -> DataFrame:
+    return reads.expired_by_minute(events_as_messages(spark, d), NOW)
+
+
+def ttl_expiry(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat("topic", F.lit("?ttl="), (F.col("seq") % 48).cast("string"), F.lit("h"))
+    return store.parsed(events_as_messages(spark, d).withColumn("topic", raw), NOW).select("seq", "topic", "depth", "expires_at")
+
+
+def encrypted_payloads(spark: SparkSession, d: str) -> DataFrame:
+    key = b"0123456789abcdef"
+    e = events_as_messages(spark, d).withColumn("sealed", store.sealed(F.col("payload"), key))
+    return e.select("contract", "seq", store.opened(F.col("sealed"), key).cast("string").alias("payload"), (F.col("sealed") != F.col("payload").cast("binary")).alias("changed"))
+
+
+def secure_topics(spark: SparkSession, d: str) -> DataFrame:
+    key, topic = key_and_topic(F.col("raw"))
+    raw = F.concat(F.lit("k"), F.col("contract").cast("string"), F.lit("/"), "topic", F.lit("?ttl=1h"))
+    requests = events_as_messages(spark, d).select("contract", "seq", raw.alias("raw")).select("contract", "seq", key.alias("key"), topic.alias("topic"))
+    keys = spark.createDataFrame([(0, "k0", "...", 3), (1, "k1", "app.u1.click", 1), (2, "k2", "...", 2), (3, "k9", "...", 1)], "contract long, key string, target string, mask int")
+    return pubsub.authorised(requests, keys, 1)
+
+
+def message_ids(spark: SparkSession, d: str) -> DataFrame:
+    return pubsub.message_ids(_deliveries(spark, d), 1000).select("conn_id", "seq", "sub_id", "message_id")
+
+
 _ALL = (
     get_last_topk, get_contract, parse_topics, live_at_now, not_deleted, match_patterns, topic_latest_k, topic_dictionary, relay, fanout, delivery_plan, batch_windows, kv_latest, kv_lookup, kv_keys,
     kv_size, kv_delete_replay, sample_stats, bounded_sample, counters, gauges, varz, uptime, flow_state, key_access_mask, dedup_seq, session_refcount, connected_deliveries, second_buckets,
+    kv_live_keys, statsd, varz_json, sync_totals, sync_new, memory_first, expired_by_minute, ttl_expiry, encrypted_payloads, secure_topics, message_ids,
 )
 
 
@@ -206,6 +262,17 @@ d as (select r.metric, floor(sqrt(sum(((x - avg) * (x - avg))::double) / max(r.n
 def oracle_sql() -> dict:
     rank = "row_number() over (partition by {} order by seq desc)::int"
     return {
+        "kv_live_keys": "select distinct turn as time_id, conv_id as key from conversations",
+        "statsd": f"{_M} select event_type as metric, sum(case when seq % 5 = 0 then -1 else 1 end)::bigint as total, count(*) as timings, floor(sum(floor(value * 1000)::bigint)::double / count(*))::bigint as mean_ns, count(distinct user_id) as members from m group by event_type",
+        "varz_json": f"{_M} select to_json({{'contract': contract, 'seq': max(seq), 'puts': count(*)}})::varchar as json from m group by contract",
+        "sync_totals": f"{_M} select contract, count_if(seq % 11 > 0)::bigint as messages, sum(case when seq % 11 > 0 then octet_length(payload::blob) end)::bigint as bytes, count_if(seq % 11 = 0)::bigint as invalid, max(case when seq % 11 > 0 then seq end) as upper_seq from m group by contract",
+        "sync_new": f"{_M} select contract, seq, topic from m where seq % 3 <> 0",
+        "memory_first": f"{_M} select contract, seq, case when seq % 10 = 0 then 'newer' else payload end as payload from m",
+        "expired_by_minute": f"{_M} select contract, date_trunc('minute', expires_at) as minute, count(*) as messages from m where expires_at <= {_NOW} group by all",
+        "ttl_expiry": f"{_M} select seq, topic, 3::int as depth, coalesce(expires_at, {_NOW} + to_hours((seq % 48)::int)) as expires_at from m",
+        "encrypted_payloads": f"{_M} select contract, seq, payload, true as changed from m",
+        "secure_topics": f"{_M} select contract, seq, 'k' || contract as key, topic, contract = 0 as wildcard from m where contract = 0 or (contract = 1 and topic = 'app.u1.click')",
+        "message_ids": f"{_M}{_P} select conn_id::bigint as conn_id, seq, sub_id::bigint as sub_id, row_number() over (partition by conn_id order by seq, sub_id) as message_id from f",
         "get_last_topk": f"{_M} select seq, payload, created_at from m where contract = 1 and topic = 'app.u1.click' and (expires_at is null or expires_at > {_NOW}) and date_trunc('second', created_at) >= {_NOW} - interval 360 hour order by seq desc limit 50",
         "get_contract": f"{_M} select seq, topic from m where contract = 1 order by seq desc limit 100",
         "parse_topics": f"{_M} select seq, topic || case when seq % 2 = 0 then '...' else '.*' end as topic, (3 + seq % 2)::bigint as levels, 4::bigint as depth, seq % 2 = 0 as multi, true as wildcard, '1h' as ttl, seq::varchar as last_n from m",

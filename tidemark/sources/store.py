@@ -53,6 +53,21 @@ def valid(rows: DataFrame) -> Column:
     return F.col("topic").isNotNull() & (F.col("topic") != "") & (F.octet_length("topic") <= MAX_TOPIC) & F.col("payload").isNotNull() & (F.octet_length("payload") > 0) & (F.octet_length("payload") <= MAX_PAYLOAD)
 
 
+def sync_totals(rows: DataFrame) -> DataFrame:
+    """What a commit of ``rows`` takes in, by contract: messages, bytes, invalid rows and the highest seq of valid ones."""
+    ok = F.coalesce(valid(rows), F.lit(False))
+    return rows.groupBy("contract").agg(F.count_if(ok).alias("messages"), F.sum(F.when(ok, F.octet_length("payload"))).alias("bytes"), F.count_if(~ok).alias("invalid"), F.max(F.when(ok, F.col("seq"))).alias("upper_seq"))
+
+
+def sealed(payload: Column, key: bytes) -> Column:
+    return F.aes_encrypt(payload.cast("binary"), F.lit(key), F.lit("GCM"))
+
+
+def opened(payload: Column, key: bytes) -> Column:
+    """Null where the key is another one."""
+    return F.try_aes_decrypt(payload, F.lit(key), F.lit("GCM"))
+
+
 def numbered(rows: DataFrame, after: int, order: str) -> DataFrame:
     """seq from ``after`` + 1 without gaps, in the order of a column, from counts of range partitions: no global window."""
     n = rows.sparkSession.sparkContext.defaultParallelism
@@ -86,7 +101,7 @@ class Store:
         if encrypted:
             if self.key is None:
                 raise BadRequest("no key")
-            payload = F.aes_encrypt(payload, F.lit(self.key), F.lit("GCM"))
+            payload = sealed(payload, self.key)
         rows = numbered(rows, self.last_seq(), "ord").withColumns({"payload": payload, "encrypted": F.lit(encrypted), "created_at": F.lit(now).cast("timestamp_ntz")})
         rows = rows.select("contract", "seq", "topic", "levels", "depth", "payload", "created_at", "expires_at", "encrypted")
         rows.sortWithinPartitions("topic", "seq").write.mode("append").option("parquet.bloom.filter.enabled#seq", "true").partitionBy("contract").parquet(f"{self.root}/messages")
@@ -95,7 +110,7 @@ class Store:
         """Rows that are not deleted; payloads are decrypted if there is a key."""
         rows = self.spark.read.parquet(f"{self.root}/messages").withColumn("contract", F.col("contract").cast("long"))
         if self.key is not None:
-            rows = rows.withColumn("payload", F.when(F.col("encrypted"), F.expr(f"try_aes_decrypt(payload, X'{self.key.hex()}', 'GCM')")).otherwise(F.col("payload")))
+            rows = rows.withColumn("payload", F.when(F.col("encrypted"), opened(F.col("payload"), self.key)).otherwise(F.col("payload")))
         gone = self._read("tombstones")
         return rows if gone is None else not_deleted(rows, gone)
 
