@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
 
     Returns doc_id, n_words, n_removed, kept_text and removed (pairs of first word and end of each removed run, counted
     from 0), and the columns in ``carry``; others are ignored. kept_text joins the kept words by one space; with ``keep_layout`` a document that loses nothing keeps its
-    text as it is. Null texts count as empty. Rows with the same doc_id do not take words from one another; a null
+    text as it is, null too. Null texts count as empty. Rows with the same doc_id do not take words from one another; a null
     doc_id counts as larger than any other. An empty table gives no rows.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -189,6 +189,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + plan.width, -1)
         covered = np.cumsum(edge[:-1]) > 0
+        absent = table.column("text").is_null().take(pa.array(chunk.order, pa.int64())).to_pylist()
         kept, removed, n_removed = [], [], []
         for i, words in enumerate(chunk.words):
             mask = covered[chunk.begins[i] : chunk.begins[i] + len(words)]
@@ -200,7 +201,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
                 kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m]))
             else:
                 removed.append([])
-                kept.append(chunk.texts[i] if keep_layout else b" ".join(words))
+                kept.append(b" ".join(words) if not keep_layout else None if absent[i] else chunk.texts[i])
         return pa.table({
             "doc_id": back(chunk.ids), "n_words": pa.array(chunk.counts), "n_removed": pa.array(n_removed, pa.int64()),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, pa.list_(pa.list_(pa.int32()))),
