@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -206,6 +207,15 @@ def test_quality(spark):
     assert 0.99 < p <= 1.0
 
 
+def test_quality_threshold_resists_an_outlier(spark):
+    good = [(i, "the cat sat on the mat " * 3) for i in range(400)]
+    aside = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0)
+    good[aside] = (aside, "zq@#!x9 " * 9)  # one held-out trusted text is an outlier
+    docs = corpus(spark, good + [(1000 + i, "mat mat mat mat cat cat cat the the " * 3) for i in range(5)])
+    got = {r.doc_id: r.keep for r in quality.judge(docs, spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")).collect()}
+    assert all(got[i] for i in range(400) if i != aside) and not any(got[1000 + i] for i in range(5))
+
+
 def test_language(spark):
     en, de = "the house and the garden with this water ", "das haus und der garten mit diesem wasser nicht "
     docs = spark.createDataFrame([(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
