@@ -216,6 +216,17 @@ def test_quality_threshold_resists_an_outlier(spark):
     assert all(got[i] for i in range(400) if i != aside) and not any(got[1000 + i] for i in range(5))
 
 
+def test_quality_threshold_of_small_languages(spark):
+    aside = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rest = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "the cat sat on the mat " * 3, "en") for i in rest[:60] + aside[:60]] + [(i, "zq@#!x9 wv%&?k7 " * 4, "xx") for i in aside[60:70]] + [(3000, "the cat", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], 1) for r in rows[:-1]], "doc_id long, quality int")
+    at = {r.lang: r.threshold for r in quality.judge(docs, labels, quantile=0.5).select("lang", "threshold").distinct().collect()}
+    assert at["en"] < at["xx"] and at["en"] == pytest.approx(at["yy"])  # ten held-out texts move a language's own threshold; none leave the pooled one
+    assert quality.judge(docs, labels.limit(0)).where("threshold is null and keep").count() == len(rows)
+
+
 def test_language(spark):
     en, de = "the house and the garden with this water ", "das haus und der garten mit diesem wasser nicht "
     docs = spark.createDataFrame([(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")

@@ -9,6 +9,7 @@ is broadcast or collected: everything that grows with the text stays in shards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,7 +197,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.97, step: floa
 
     Trusted text is what ``labels`` (doc_id, quality) marks 1. A fifth of it (crc32 of the doc_id as text leaves 0 modulo
     5) isn't trained on: the threshold of a language is the ``quantile`` of log-perplexity, in steps of ``step``, over these
-    documents; with fewer than ``least`` of them, that over all languages. Documents above the threshold are not kept.
+    documents, drawn towards that over all languages as if ``least`` more documents had it. Documents above the threshold
+    are not kept.
     0.97 has the least sum of low-quality documents kept and trusted ones rejected at sf0.1.
     Empty texts have no perplexity and are not kept; without any trusted text all others are. A null lang is a language.
     """
@@ -212,9 +214,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.97, step: floa
         counted = counted.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
         return counted.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*by).agg(F.min("bin").alias("bin"), F.max("all").alias("all"))
 
-    own = cut(["lang"]).where(F.col("all") >= least).select(F.col("lang").alias("_lang"), F.exp(F.col("bin") * step).alias("own"))
-    overall = cut([]).select(F.exp(F.col("bin") * step).alias("t")).first()  # one number
+    overall = cut([]).first()["bin"]  # one row; null without any held-out document
+    drawn = (F.col("bin") * F.col("all") + (overall or 0) * least) / (F.col("all") + least)
+    own = cut(["lang"]).select(F.col("lang").alias("_lang"), F.exp(drawn * step).alias("own"))
     joined = scored.join(own, scored["lang"].eqNullSafe(own["_lang"]), "left")
-    threshold = F.coalesce("own", F.lit(overall["t"] if overall and overall["t"] is not None else None).cast("double"))
+    threshold = F.coalesce("own", F.lit(None if overall is None else math.exp(overall * step)).cast("double"))
     keep = F.coalesce(F.col("perplexity") <= threshold, F.col("perplexity").isNotNull())
     return joined.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
