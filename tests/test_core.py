@@ -120,6 +120,21 @@ def test_top_k_plan(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+WILD = [
+    ("...", "unit.b.b1"), ("unit.b...", "unit.b.b1.b11.b111.b1111.b11111.b111111"), ("unit.*.b1.b11.*.*.b11111.*", "unit.b.b1.b11.b111.b1111.b11111.b111111"), ("unit.*.b1.*.*.*.b11111.*", "unit.b.b1.b11.b111.b1111.b11111.b111111"),
+    ("unit.b.b1", "unit.b.b1"), ("unit.b.b1.b11", "unit.b.b1.b11"), ("unit.b", "unit.b"),
+]
+
+
+def test_get_matches_stored_wildcards(spark):
+    m = spark.createDataFrame([(1, i, p, None) for i, (p, _) in enumerate(WILD)] + [(2, 99, "...", None)], "contract long, seq long, topic string, expires_at timestamp_ntz")
+    got = lambda t, k=10: [r.seq for r in reads.get(m, reads.Query(t, 1, k), NOW).collect()]
+    for i, (pattern, topic) in enumerate(WILD):
+        assert i in got(topic) and i in got(pattern)
+    assert got("unit.b.b1") == [4, 1, 0] and got("unit.b.b1", 2) == [4, 1]
+    assert got("unit.b") == [6, 0] and got("unit.b...") == [1] and got("other") == [0]
+
+
 def test_memory_first(spark):
     disk = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, None)], "contract long, seq long, payload string")
     memory = spark.createDataFrame([(1, 2, "B"), (1, 3, "c")], disk.schema)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.durations import parse_duration
+from ..functions.topics import is_wildcard, pattern_regex
 from .match import match
 
 DEFAULT_LIMIT, MAX_LIMIT, MASTER_CONTRACT = 1000, 100_000, 3376684800
@@ -93,9 +94,15 @@ def expired_by_minute(messages: DataFrame, now: datetime) -> DataFrame:
 
 
 def get(messages: DataFrame, query: Query, now: datetime) -> DataFrame:
-    """The newest rows of a topic: exact top-k by seq after all filters."""
+    """The newest rows of a topic: exact top-k by seq after all filters.
+
+    A static topic also finds what is stored under patterns that match it; a wildcard topic finds only the same pattern.
+    """
     topic, cutoff, limit = query.resolve(now)
-    rows = messages.where((F.col("contract") == query.contract) & (F.col("topic") == topic) & alive(now))
+    same = F.col("topic") == topic
+    if not topic.endswith("...") and "*" not in topic.split("."):
+        same = same | ((F.col("topic").endswith("...") | F.col("topic").contains("*")) & is_wildcard(F.col("topic")) & F.regexp_like(F.lit(topic), pattern_regex(F.col("topic"))))
+    rows = messages.where((F.col("contract") == query.contract) & same & alive(now))
     if cutoff is not None:
         rows = rows.where(F.col("created_at") >= F.lit(cutoff).cast("timestamp_ntz"))  # a whole second: truncation changes nothing
     return rows.orderBy(F.desc("seq")).limit(limit)
