@@ -11,7 +11,7 @@ from tidemark.functions.durations import parse_duration
 from tidemark.operators import kv, metrics, pubsub, reads
 from tidemark.operators.match import match, match_by_regex
 from tidemark.plans import queries as catalogue
-from tidemark.sources.store import Immutable, Store, opened, sealed, sync_totals
+from tidemark.sources.store import Immutable, Store, opened, parsed, sealed, sync_totals
 from tidemark.streaming import ingest
 
 NOW = datetime(2024, 1, 31)
@@ -75,6 +75,19 @@ def test_store(spark, tmp_path):
         Store(spark, str(tmp_path / "u")).delete(rows)
 
 
+def test_ttl(spark, tmp_path):
+    good = {"1.5h": 5400, "500ms": 0.5, "-1.5h": -5400, "+1h2m3s": 3723, "250us": 0.00025, "1.5µs": 0.000002, ".5m": 30, "90": 90, "0": 0, "2000ns": 0.000002, "1h0.5s": 3600.5}
+    rows = spark.createDataFrame([(i, f"a.b?ttl={t}", "x") for i, t in enumerate([*good, ""])], "ord long, topic string, payload string")
+    got = [r.expires_at for r in parsed(rows, NOW).orderBy("ord").collect()]
+    assert got == [NOW + timedelta(seconds=s) for s in good.values()] + [None]
+    store = Store(spark, str(tmp_path / "t"))
+    for t in ("abc", "1.5", "1h 2m", "5x", "9999999999h"):
+        with pytest.raises(reads.BadRequest):
+            store.put(spark.createDataFrame([(0, f"a?ttl={t}", "x")], rows.schema), NOW)
+    with pytest.raises(Exception, match="not a ttl"):
+        parsed(spark.createDataFrame([(0, "a?ttl=abc", "x")], rows.schema), NOW).collect()
+
+
 def test_query_limits():
     assert reads.Query("a?last=5000").resolve(NOW) == ("a", None, 5000)
     assert reads.Query("a", limit=10**9).resolve(NOW)[2] == reads.MAX_LIMIT

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.durations import seconds_of
 from ..functions.topics import levels_of, normal, option, topic_of
 from ..operators.reads import MASTER_CONTRACT, BadRequest, not_deleted
 
@@ -35,18 +36,23 @@ def conversations_as_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("turn").alias("time_id"), F.col("conv_id").alias("key"), F.lit("put").alias("op"), F.lit(None).cast("bigint").alias("ref_time_id"), F.col("text").alias("value"))
 
 
+def ttl_fails(raw: Column) -> Column:
+    ttl = option(raw, "ttl")
+    return ttl.isNotNull() & seconds_of(ttl).isNull()
+
+
 def parsed(rows: DataFrame, now: datetime) -> DataFrame:
     """Incoming rows (topic with options, payload, expires_at or none) with normalised topic, levels, depth and expiry.
 
-    A row's own expiry goes before the ttl option (``1h30m``-like or seconds).
+    A row's own expiry goes before the ttl option (a duration or seconds). A ttl that doesn't parse is an error.
     """
     ttl = option(F.col("topic"), "ttl")
-    unit = lambda u, s: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(ttl, rf"(\d+){u}(?![a-z])", 1), F.lit("")), F.lit("999999999999")).cast("double"), F.lit(0.0)) * s
-    seconds = F.when(ttl.rlike(r"^\d+$"), ttl.try_cast("double")).when(ttl.rlike(r"^(\d+h)?(\d+m)?(\d+s)?$"), unit("h", 3600) + unit("m", 60) + unit("s", 1))
+    seconds = seconds_of(ttl)
     until = F.lit(now).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     own = F.col("expires_at") if "expires_at" in rows.columns else F.lit(None).cast("timestamp_ntz")
     t = topic_of(F.col("topic"))
-    return rows.withColumns({"expires_at": F.coalesce(own, until), "levels": levels_of(t), "topic": normal(t)}).withColumn("depth", F.size("levels"))
+    wrong = F.raise_error(F.concat(F.lit("not a ttl: "), ttl)).cast("timestamp_ntz")
+    return rows.withColumns({"expires_at": F.when(ttl_fails(F.col("topic")), wrong).otherwise(F.coalesce(own, until)), "levels": levels_of(t), "topic": normal(t)}).withColumn("depth", F.size("levels"))
 
 
 def valid(rows: DataFrame) -> Column:
@@ -92,6 +98,8 @@ class Store:
 
     def put(self, rows: DataFrame, now: datetime, contract: int = MASTER_CONTRACT, encrypted: bool = False) -> None:
         """Append a batch (topic, payload, ord; contract and expires_at if they differ): all of it or, if a row is invalid, nothing."""
+        if not rows.where(F.coalesce(ttl_fails(F.col("topic")), F.lit(False))).isEmpty():
+            raise BadRequest("a ttl is not a duration")
         rows = parsed(rows, now)
         if not rows.where(~F.coalesce(valid(rows), F.lit(False))).isEmpty():
             raise BadRequest("a topic or payload is empty or too large")
