@@ -235,6 +235,12 @@ def test_language(spark):
     assert len(got) == len(pages) and [got[i].lang for i in (1, 2, 3, 5)] == ["de", "en", "de", "en"] and got[1].declared == "de" and got[3].host == "a.de"
 
 
+def test_rare_language_has_a_model(spark):
+    rows = [(i, "the house and the garden with this water", "en") for i in range(200)] + [(1000 + i, "talo ja puutarha tämän veden kanssa", "fi") for i in range(2)] + [(5, "hus och trädgård med detta vatten", "SV")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert language_id.fit_text(docs, max_docs=2)[0] == ["en", "fi", "sv"]
+
+
 def test_quotations(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you?"), (1, 1, "a", "> hello  there\n> How are you?\n\nFine."), (1, 2, "user", "New topic"), (1, 3, "a", ">> Hello there\n> Fine.\nGood!"), (1, 4, "a", "> unknown\nok"), (2, 0, "user", "> Fine."), (3, None, None, None), (None, 1, "u", ""), (1, 5, "a", "> New topic\n> Good!")]
     got = {(r.conv_id, r.turn): r for r in quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

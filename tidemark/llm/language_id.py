@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -63,13 +64,14 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit_text(docs: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log-probabilities of trigram buckets (languages x BUCKETS), from whole texts of at most ``max_docs`` labelled rows."""
+    """Languages in order, and log-probabilities of trigram buckets (languages x BUCKETS), from whole texts of at most ``max_docs`` labelled rows of each language."""
     spark = docs.sparkSession
     labelled = docs.where("doc_id is not null and lang is not null and text is not null")
-    ids = labelled.select(F.col("doc_id").cast("long").alias("id"), F.lower("lang").alias("l")).orderBy(F.xxhash64("id"), "id", "l").limit(max_docs).toArrow()
+    rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("id"), "id"))
+    ids = labelled.select(F.col("doc_id").cast("long").alias("id"), F.lower("lang").alias("l")).withColumn("rank", rank).where(F.col("rank") <= max_docs).drop("rank").toArrow()
     if not ids.num_rows:
         return [], np.zeros((0, BUCKETS))
-    sample = spark.createDataFrame(ids).dropDuplicates(["id"])
+    sample = spark.createDataFrame(ids).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +82,7 @@ def fit_text(docs: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndarr
                 at = np.flatnonzero(n)
                 yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["l", "bucket", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(sample), "id").select("l", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower("lang").alias("l"), "text").where("text is not null").join(F.broadcast(sample), ["id", "l"]).select("l", "text")
     found = rows.mapInArrow(count, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("l").to_pylist()))
     counts = np.full((len(names), BUCKETS), 0.1)
