@@ -4,8 +4,10 @@ A seed is a fixed mask over consecutive words of which some positions are ignore
 these positions. The masked hashes of benchmark items are joined with those at every position of every document; around
 each hit, words are compared along the diagonal, and an overlap counts if enough of a long enough stretch is equal.
 
-The benchmark side is joined by broadcast in blocks of at most ``block_words`` words: usually one block; a larger
-benchmark takes more passes over the documents, each with bounded memory, and loses nothing. Documents are not shuffled.
+The benchmark side is joined by broadcast in blocks of at most ``block_words`` words: usually one block, and no shuffle. A
+larger benchmark takes one pass over the documents for each block, one after another, so that one block's index is held at a
+time; what a pass finds is kept by the text's hash, since overlaps depend on the text alone. The result is the same for any
+``block_words``.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed
+from .common import WordHashes, durable, mixed
 
-#: 1: the word counts; 0: it is ignored. Span 11, weight 6 or 7; the first three stand substitutions at any one place.
-MASKS = ("11101100100", "10110011001", "11010010110", "11111100000", "00000111111")
+#: 1: the word counts; 0: it is ignored. Span 11, weight 5 to 7. Between equal ends, every placement of 2 substitutions in 11
+#: to 14 words and of 3 in 15 or 16 words leaves a hit of one mask at least.
+MASKS = ("11101100100", "10110011001", "11010010110", "11111100000", "00000111111", "11000101001", "10101000110")
 WORD = re.compile(r"\w+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,7 +101,7 @@ class Index:
                 for p, x, y in zip(hits[a < b], a[a < b], b[a < b], strict=True):
                     diagonals.update((int(self.item[k]), int(p - self.at[k])) for k in range(x, y))
         best: dict[int, tuple] = {}
-        for i, d in diagonals:
+        for i, d in sorted(diagonals):
             item = self.items[i][1]
             lo, hi = max(0, -d), min(len(item), len(words) - d)
             equal = item[lo:hi] == words[d + lo : d + hi]
@@ -115,77 +118,96 @@ class Index:
         return [(self.items[i][0], *x) for i, x in best.items()]
 
 
-OUT = "doc_id long, item_ids array<long>, first_words array<int>, spans array<int>, equal array<int>"
+FOUND = "array<struct<item_id: bigint, first_word: int, span: int, equal: int>>"
+
+
+class Matcher:
+    """Overlaps of texts with one block of the benchmark, sorted by item (null last), place and length."""
+
+    def __init__(self, shipped, masks: tuple[str, ...], least: int, share: float):
+        self.shipped, self.masks, self.least, self.share, self.index = shipped, masks, least, share, None
+
+    def __call__(self, text: str | None) -> list[tuple]:
+        if self.index is None:
+            self.index = Index(self.shipped.value, self.masks)
+        if not text or not self.index.items:
+            return []
+        return sorted(self.index.overlaps(self.index.array(words_of(text)), self.least, self.share), key=lambda r: (r[0] is None, *(x or 0 for x in r)))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, block_words: int = 2_000_000) -> DataFrame:
-    """One row for each row of ``docs``: the benchmark items that its text overlaps, and where.
+    """One row for each row of ``docs`` (doc_id, text; other columns are ignored): the benchmark items that its text
+    overlaps, and where.
 
     An overlap is a stretch, along one alignment of item and document, of at least ``least`` words (all of a shorter
     item) of which ``share`` or more are equal, found by a seed hit. Words are lower-case runs of word characters.
-    Returns doc_id, contaminated, item_ids (sorted), first_words, spans and equal (for each item the longest overlap's
-    first word in the document, words spanned, and words equal). Items shorter than the masks must occur whole. Null and
-    empty texts and items overlap nothing. Repeated documents give repeated rows; an empty benchmark clears all.
+    Returns doc_id, contaminated, item_ids (sorted, null last), first_words, spans and equal (for each item the longest
+    overlap's first word in the document, words spanned, and words equal). Items shorter than the masks must occur whole.
+    Each row is judged by its own whole text, however long, with or without doc_id. Null and empty texts and items overlap
+    nothing. Repeated rows and rows of one doc_id give a row each; repeated items are listed each; an empty benchmark clears
+    all, an empty table gives no rows.
     """
     blocks = _blocks(benchmark, block_words)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(blocks) == 1:
+        match = Matcher(docs.sparkSession.sparkContext.broadcast(blocks[0]), masks, least, share)
 
-    def matcher(shipped):
-        held: dict = {}
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not held:
-                held["index"] = Index(shipped.value, masks)
-            index = held["index"]
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for x in batch.column(1).to_pylist():
-                    found = sorted(index.overlaps(index.array(words_of(x)), least, share), key=lambda r: (r[0] is None, r[0] or 0)) if x and index.items else []
-                    rows.append(list(zip(*found, strict=True)) or [(), (), (), ()])
-                yield pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(pa.int64() if not i else pa.int32())) for i in range(4))], ["doc_id", "item_ids", "first_words", "spans", "equal"])
-
-        return match
-
-    def one(rows: list) -> DataFrame:
-        return text.mapInArrow(matcher(docs.sparkSession.sparkContext.broadcast(rows)), OUT)
-
-    found = one(blocks[0])
-    if len(blocks) > 1:
-        for b in blocks[1:]:
-            found = found.unionByName(one(b))
-        # rows of one doc_id come together; a repeated row adds its own
-        copies = text.groupBy("doc_id").agg(F.count("*").alias("copies"))
-        parts = found.select("doc_id", F.explode(F.arrays_zip("item_ids", "first_words", "spans", "equal")).alias("x"))
-        parts = parts.groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
-        found = copies.join(parts, copies["doc_id"].eqNullSafe(parts["doc_id"]), "left").select(copies["doc_id"], F.explode(F.array_repeat(F.coalesce("x", F.array()), F.col("copies").cast("int"))).alias("x"))
-        found = found.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in ("item_ids", "first_words", "spans", "equal")))
-    return found.withColumn("contaminated", F.size("item_ids") > 0)
+                yield pa.record_batch([batch.column(0), _structs([match(x) for x in batch.column(1).to_pylist()])], ["doc_id", "found"])
 
+        rows = text.mapInArrow(find, f"doc_id long, found {FOUND}")
+    else:
+        hits = _hits(text, blocks, masks, least, share)
+        rows = text.select("doc_id", F.md5("text").alias("key")).join(hits, "key", "left").select("doc_id", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+    return rows.select("doc_id", *(F.col(f"found.{c}").alias(n) for c, n in (("item_id", "item_ids"), ("first_word", "first_words"), ("span", "spans"), ("equal", "equal"))), (F.size("found") > 0).alias("contaminated"))
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, block_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` whose own text overlaps no benchmark item, all columns kept, without a shuffle: one pass over what is left for each block of items."""
 
-    def keeper(shipped):
-        held: dict = {}
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` whose own text overlaps no benchmark item, all columns kept. With one block without a shuffle."""
+    blocks = _blocks(benchmark, block_words)
+    if len(blocks) == 1:
+        match = Matcher(docs.sparkSession.sparkContext.broadcast(blocks[0]), masks, least, share)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not held:
-                held["index"] = Index(shipped.value, masks)
-            index = held["index"]
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not (x and index.overlaps(index.array(words_of(x)), least, share)) for x in texts], pa.bool_()))
+                yield batch.filter(pa.array([not match(x) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(keep, docs.schema)
+    gone = _hits(docs.select("text"), blocks, masks, least, share).select("key")
+    if gone.count() <= 500_000:  # 40 bytes each
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.md5(docs["text"]) == gone["key"], "left_anti")
+
+
+def _structs(rows: list[list[tuple]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    item, first, span, equal = zip(*(x for r in rows for x in r), strict=True) if ends[-1] else ((), (), (), ())
+    fields = [pa.array(item, pa.int64()), pa.array(first, pa.int32()), pa.array(span, pa.int32()), pa.array(equal, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["item_id", "first_word", "span", "equal"]))
 
-        return keep
 
-    for rows in _blocks(benchmark, block_words):
-        if rows:
-            docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(rows)), docs.schema)
-    return docs
+def _hits(texts: DataFrame, blocks: _Blocks, masks: tuple[str, ...], least: int, share: float) -> DataFrame:
+    """key (md5 of a text) and found of each distinct text that overlaps any item, from one pass for each block."""
+    parts = None
+    for number in range(len(blocks)):
+        match = Matcher(texts.sparkSession.sparkContext.broadcast(blocks[number]), masks, least, share)
+
+        def find(batches: Iterator[pa.RecordBatch], match: Matcher = match) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [match(x) for x in batch.column(1).to_pylist()]
+                some = pa.array([bool(x) for x in found], pa.bool_())
+                yield pa.record_batch([batch.column(0).filter(some), _structs([x for x in found if x])], ["key", "found"])
+
+        part = texts.where("text is not null").select(F.md5("text").alias("key"), "text").mapInArrow(find, f"key string, found {FOUND}")
+        part = durable(part.dropDuplicates(["key"]))  # equal texts have equal overlaps
+        parts = part if parts is None else parts.unionByName(part)
+    x = F.struct(F.col("x.item_id").isNull().alias("last"), "x.*")
+    return durable(parts.select("key", F.explode("found").alias("x")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(x)), lambda y: F.struct(*(y[c].alias(c) for c in ("item_id", "first_word", "span", "equal")))).alias("found")))
 
 
 class _Blocks:
-    """Blocks of benchmark rows, fetched when they are asked for: about ``block_words`` words each at most."""
+    """Blocks of benchmark rows, fetched when they are asked for: about ``block_words`` words each at most, but for one longer item."""
 
     def __init__(self, items: DataFrame, n: int):
         self.items, self.n = items, n
@@ -193,11 +215,7 @@ class _Blocks:
     def __len__(self) -> int:
         return self.n
 
-    def __getitem__(self, i):
-        if isinstance(i, slice):
-            return (self[k] for k in range(*i.indices(self.n)))
-        if i >= self.n:
-            raise IndexError
+    def __getitem__(self, i: int) -> list[tuple[int | None, str]]:
         mine = self.items if self.n == 1 else self.items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == i)
         return [(r.item_id, r.text) for r in mine.select("item_id", "text").collect()]
 
