@@ -3,7 +3,7 @@
 Shingles are ``width`` consecutive words (a shorter text is one shingle); a shingle's weight is how often it occurs.
 Similarity is the probability Jaccard index J_P; for texts that repeat no shingle it is the Jaccard index.
 
-1. Exact copies (same words in the same order) meet by a 128-bit hash; the smallest doc_id stands for them.
+1. Exact copies (same words in the same order) meet by a 128-bit hash: each distinct text is one node.
 2. ProbMinHash: each shingle is a Poisson process with its weight as rate; each arrival falls on one random component of
    the signature, the earliest arrival there wins, and a shingle stops once it arrives later than all components.
    Signatures of two texts agree in a component with probability J_P. Bands of components make buckets.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FIRST, Rolling, WordHashes, components, durable, forest, mixed, texts_of
@@ -107,7 +107,7 @@ class _Shingler:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, content (128-bit hash of the words; null: no words) and bands of each row."""
+    """doc_id, key (hash of the text as it is), content (128-bit hash of the words; null: no words) and bands of each row."""
     held: dict = {}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +125,18 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 found = bands_of(prob_minhash(owner, h, weight, len(words), bands * rows), rows)
                 content = pa.array([xxhash.xxh3_128_digest(b" ".join(x)) if x else None for x in words], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-                yield pa.record_batch([batch.column(0).slice(begin, at - begin), content, lists], ["doc_id", "content", "bands"])
+                yield pa.record_batch([*(batch.column(i).slice(begin, at - begin) for i in (0, 1)), content, lists], ["doc_id", "key", "content", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, content binary, bands array<long>")
+    return identified(docs).select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key binary, content binary, bands array<long>")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, a hash of the text: rows that agree in doc_id and key differ in nothing that matters here."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -222,25 +231,21 @@ def links_in_blocks(now: DataFrame, texts: DataFrame, width: int, threshold: flo
     return many.groupBy("star", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 1, small: int = 24) -> DataFrame:
-    """doc_id, class_id and kept of every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Two texts are linked if J_P of their shingles is ``threshold`` or more; classes are what links connect, class_id the
-    smallest doc_id of the class, kept says that doc_id = class_id. With 32 bands of 5 components a pair at 0.8 shares
-    no bucket with probability 3e-6. Texts without words link with nothing and are classes of their own. Rows of one
-    doc_id count as one document. A row without doc_id is kept unless its text is an exact copy of one that has a doc_id.
-    """
+def _decided(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, star_rounds: int = 1, small: int = 24) -> DataFrame:
+    """doc_id, key, content, class_id and chosen (whether doc_id and key stand for the class) of every row of ``docs``."""
     signed = durable(signatures(docs, width, bands, rows))
-    worded = signed.where("content is not null")
-    reps = durable(worded.groupBy("content").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")))
-    single = reps.where("node is not null").select("node", F.explode("bands").alias("band"))
+    reps = signed.where("content is not null").groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"), F.min("bands").alias("bands"))
+    reps = durable(reps.withColumn("node", F.monotonically_increasing_id()))  # numbers stay once they are written
+    single = reps.select("node", F.explode("bands").alias("band"))
     shared = single.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     open_ = durable(single.join(shared, "band"))
     degree = open_.groupBy("node").agg(F.sum("n").alias("degree"))
     open_ = open_.drop("n").join(degree, "node")
-    candidates = degree.select("node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates, "node", "left_semi")
-    texts = durable(texts)
+    asked = degree.select("node").join(reps.select("node", "rep.doc_id", "rep.key"), "node")
+    held = identified(docs)
+    if not signed.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        held = held.dropDuplicates(["doc_id", "key"])  # repeated rows: one is enough, and they merge before the shuffle
+    texts = durable(held.join(asked, (held["key"] == asked["key"]) & held["doc_id"].eqNullSafe(asked["doc_id"])).select("node", "text"))
     edges = tested = labels = None
     for turn in range(star_rounds + 1):
         now = open_ if labels is None else open_.join(labels.withColumnRenamed("root", "label"), "node", "left")
@@ -265,15 +270,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         open_ = now.where("node <> star").select("node", "band", "degree", "anchor")
         if now.isEmpty():
             break
-    named = reps.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("root", "node").alias("root"))
-    # rows of one doc_id share a class: the smallest one that any of their texts is in
-    rows_ = signed.select("doc_id", "content").join(named, "content", "left")
-    class_id = F.coalesce("root", "doc_id")
-    return rows_.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id").eqNullSafe(class_id), F.lit(False)).alias("kept"))
+    linked = durable(labels.join(reps.select("node", "content", "rep"), "node"))
+    linked = linked.select("root", "content").join(linked.groupBy("root").agg(F.min("rep").alias("best")), "root").select("content", "best")
+    named = reps.select("content", "rep").join(linked, "content", "left").select("content", F.coalesce("best", "rep").alias("best"))
+    judged = signed.select("doc_id", "key", "content").join(named, "content", "left")
+    class_id, wordless = F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")), F.col("content").isNull()
+    return judged.select("doc_id", "key", "content", class_id.alias("class_id"), (wordless | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id and kept of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Options and defaults: width 5, threshold 0.8, bands 32, rows 5 (components of a band), star_rounds 1, small 24.
+
+    Two texts are linked if J_P of their shingles is ``threshold`` or more; classes are what links connect, class_id the
+    smallest doc_id of the class (null if none has one), kept marks the row that stands for its class: the one with that
+    doc_id and, if several texts of the class have it, one of them. Rows of one doc_id are judged each by its own text. A row
+    without doc_id takes part like any other and is kept only if no row of its class has a doc_id. Repeated rows get equal
+    results. Texts without words link with nothing and are kept. With 32 bands of 5 components a pair at 0.8 shares no bucket
+    with probability 3e-6.
+    """
+    return _decided(docs, **options).select("doc_id", "class_id", F.col("chosen").alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps: one document of each class; rows without doc_id stay."""
-    gone = near_duplicates(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return left
+    """The rows of ``docs`` that stand for their classes, one for each class, and all rows without words; all columns kept.
+
+    Of rows that agree in doc_id and text one stays. Options are those of near_duplicates.
+    """
+    stay = _decided(docs, **options).where("chosen").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first(F.col("content").isNull()).alias("wordless"))
+    stay = durable(stay.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), ((F.col("n") > 1) & ~F.col("wordless")).alias("_again")))
+    names = {c: _unused(c, docs.columns) for c in stay.columns}
+    stay = stay.withColumnsRenamed(names)
+    id_, key, again = (F.col(names[c]) for c in ("_id", "_key", "_again"))
+    met = docs.join(stay, (_key(docs["text"]) == key) & docs["doc_id"].cast("long").eqNullSafe(id_))
+    if stay.where(again).isEmpty():
+        return met.select(*docs.columns)
+    once = met.where(again).dropDuplicates([names["_id"], names["_key"]])
+    return met.where(~again).unionByName(once).select(*docs.columns)
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
