@@ -31,12 +31,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = substring_dedup.remove_repeats(docs, keep_layout=True, carry=rest)
-    out = out.where("n_removed = 0 or n_removed < n_words").withColumnRenamed("kept_text", "text")
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = [F.struct(*rest).alias("row")] if rest else []  # one column, so that no name clashes with the operator's
+    out = substring_dedup.remove_repeats(docs.select("doc_id", "text", *row), keep_layout=True, carry=("row",) if rest else ())
+    out = out.where("n_removed = 0 or n_removed < n_words")
+    cut = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.coalesce(cut, F.col(f"row.`{c}`")) if c == "n_chars" else F.col(f"row.`{c}`") for c in rest}
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents; between stages, rows are written to the shared folder and reread."""
+    """All stages applied to documents; between stages, rows are written to the shared folder and reread.
+
+    A stage's rows are deleted once the next stage's are written; those that the last one reads stay, with its result.
+    """
     docs = table(spark, sf_dir, "documents")
     where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -69,4 +73,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{where}/{k}-{name}")
             docs = spark.read.parquet(f"{where}/{k}-{name}")
+            if k:
+                deleted(spark, f"{where}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
