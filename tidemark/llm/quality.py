@@ -142,15 +142,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "shard": pa.array(shard, pa.int64()), "body": pa.array(body, pa.binary()), "times": pa.array(times, pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for body, times in zip(table.column("body").to_pylist(), table.column("times").to_pylist(), strict=True):
-            k, seen = unpacked(body)
-            n = np.zeros(len(k), np.int64)
-            n[seen] = np.frombuffer(times, "<u4")
-            both, at = np.unique(np.concatenate((keys, k)), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
-            keys = both
-        return pa.table({"shard": pa.array(np.full(len(keys), key[0].as_py())), "key": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
+        found = [(k, seen, np.frombuffer(times, "<u4")) for (k, seen), times in ((unpacked(b), t) for b, t in zip(table.column("body").to_pylist(), table.column("times").to_pylist(), strict=True))]
+        keys = np.concatenate([k for k, _, _ in found])
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.concatenate([seen for _, seen, _ in found])] = np.concatenate([times for _, _, times in found])
+        del found
+        order = np.argsort(keys, kind="stable")  # all chunks' parts by one sort
+        keys = keys[order]
+        new = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return pa.table({"shard": pa.array(np.full(len(new), key[0].as_py())), "key": pa.array(keys[new].astype(np.int64)), "n": pa.array(np.add.reduceat(counts[order], new) if len(new) else counts)})
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         keys, logp = known.column("key").to_numpy().astype(np.uint64), known.column("logp").to_numpy()
