@@ -2,18 +2,19 @@
 
 1. Targets: each source's share of all words by weight, at most ``cap`` times its own size; the excess is shared again by
    weight among the others (water filling in closed form over the sorted ratios of cap and weight).
-2. Blocks: a source's documents fall into blocks by a hash. A source's quota is a number of whole passes over its blocks
-   and, in the order of the block numbers, as many blocks more as its target needs; the last block is cut at the document
-   where the running size comes nearest to the target.
+2. Blocks: a source's documents fall into blocks by a hash, so the order of block numbers is a random one. A source's quota
+   is a number of block units: whole passes over its blocks and, in the order of their numbers, as many blocks more as its
+   target needs. Of the last unit's block, documents are taken until the running size comes nearest to the target: in hash
+   order, those of more than a 32nd of what is missing last, by size.
 3. Splitting tree: the output shards are halved again and again. At each node the block quotas of all sources are split
    exactly: the left half's total is half the node's, its composition a multivariate-hypergeometric draw, made source by
-   source by inverting the conditional distribution with a hashed number. The leaves hold how many blocks of each source
-   a shard gets.
-4. Each shard draws the next blocks of each source in permuted order, so draws are disjoint. Within a shard, rows are
-   ordered by a hash.
+   source by inverting the conditional distribution with a hashed number; many sources are drawn in groups first. The leaves
+   hold how many units of each source a shard gets, and from which on.
+4. Each shard draws its units, so draws are disjoint; a document is taken once for each unit drawn on its block (but for the
+   last unit's documents left out). Within a shard, rows are ordered by a hash.
 
-Only sizes and hashes are aggregated. The tree works on counts, one row a node. Documents are joined with their block's
-row on (source, block), which spreads a hot source over its blocks.
+Only sizes and hashes are aggregated. The tree works on counts: one row for each node and group of sources. Documents are
+joined with their block's row on (source, block), which spreads a hot source over its blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import count_words, durable
 
 WEIGHTS = (5, 2, 1)
-SEED = "mix-1"
+SEED = "mix-2"
+GROUP = 256  # sources in one row of the tree
+SPAN = 4096  # blocks whose sizes one window adds up
 #: Columns of the results; columns of docs with these names are not carried.
 OWN = ("size", "source_size", "target", "taken", "block", "shards", "copy", "shard")
 
@@ -80,50 +83,66 @@ def hypergeometric(population: Column, marked: Column, draws: Column, u: Column)
 
 def uniform(*what: Column) -> Column:
     """A number in (0, 1) from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*what), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *what)), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def split_quotas(quotas: DataFrame, levels: int, seed: str = SEED) -> DataFrame:
-    """quotas: one row with ``units``, an array of block quotas by source. Returns shard and units for 2**levels shards.
+def drawn_in_turn(units: Column, draws: Column, hashed: list[Column], first: Column) -> Column:
+    """A multivariate-hypergeometric draw of ``draws`` out of ``units``, an array of counts: how many of each."""
+    total = F.aggregate(units, F.lit(0).cast("long"), lambda a, x: a + x)
+    start = F.struct(total.alias("rest"), draws.alias("draws"), F.array().cast("array<bigint>").alias("out"))
 
-    Each source's units add up to its quota; the shards' totals differ by 1 at most for each level.
+    def step(s: Column, x: Column) -> Column:
+        got = hypergeometric(s["rest"], x, s["draws"], uniform(*hashed, first + F.size(s["out"])))
+        kept = F.transform(F.array(got), lambda g: F.struct((s["rest"] - x).alias("rest"), (s["draws"] - g).alias("draws"), F.concat(s["out"], F.array(g)).alias("out")))
+        return F.element_at(kept, 1)
+
+    return F.aggregate(units, start, step)["out"]
+
+
+def split_quotas(quotas: DataFrame, levels: int, groups: int = 1, seed: str = SEED) -> DataFrame:
+    """quotas: ``group`` and ``units``, the block quotas of the group's sources, for each of ``groups`` groups of GROUP sources.
+
+    Returns shard, group, units and begin (the units of each source that the shards before take) for 2**levels shards. Each
+    source's units add up to its quota; the shards' totals differ by 1 at most for each level.
     """
-    nodes = quotas.select(F.lit(0).cast("long").alias("node"), "units")
+    nodes = quotas.select(F.lit(0).cast("long").alias("node"), "group", "units", F.transform("units", lambda x: F.lit(0).cast("long")).alias("begin"))
     for level in range(levels):
-        total = F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)
-        half = F.floor(total / 2).cast("long") + F.when((total % 2 == 1) & (uniform(F.lit(seed), F.lit(level), F.col("node")) < 0.5), F.lit(1)).otherwise(F.lit(0)).cast("long")
-        nodes = nodes.withColumn("total", total).withColumn("half", half)
-        empty = F.array().cast("array<bigint>")
-        start = F.struct(F.col("total").alias("rest"), F.col("half").alias("draws"), empty.alias("out"))
-
-        def taken(s: Column, x: Column, level: int = level) -> Column:
-            got = hypergeometric(s["rest"], x, s["draws"], uniform(F.lit(seed), F.lit(level), F.col("node"), F.size(s["out"])))
-            return F.struct((s["rest"] - x).alias("rest"), s["draws"].alias("draws"), F.concat(s["out"], F.array(got)).alias("out"))
-
-        def step(s: Column, x: Column) -> Column:
-            t = taken(s, x)
-            return F.aggregate(F.array(t), F.struct(s["rest"].alias("rest"), s["draws"].alias("draws"), s["out"].alias("out")), lambda _, y: F.struct(y["rest"].alias("rest"), (y["draws"] - F.element_at(y["out"], -1)).alias("draws"), y["out"].alias("out")))
-
-        nodes = nodes.withColumn("left", F.aggregate("units", start, step)["out"])
-        nodes = nodes.select(F.explode(F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("units")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("units", "left", lambda a, b: a - b).alias("units")),
-        )).alias("x")).select("x.node", "x.units")
+        at = [F.lit(seed), F.lit(level), F.col("node")]
+        nodes = nodes.withColumn("total", F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x))
+
+        def half(total: Column, at: list = at) -> Column:
+            return F.floor(total / 2).cast("long") + F.when((total % 2 == 1) & (uniform(*at) < 0.5), 1).otherwise(0).cast("long")
+
+        if groups == 1:
+            nodes = nodes.withColumn("draws", half(F.col("total")))
+        else:
+            per = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("group", "total"))).alias("g"), F.sum("total").alias("all"))
+            got = drawn_in_turn(F.col("g.total"), half(F.col("all")), [*at, F.lit("group")], F.lit(0))
+            per = per.select("node", F.explode(F.arrays_zip(F.col("g.group").alias("group"), got.alias("draws"))).alias("x")).select("node", "x.group", "x.draws")
+            nodes = nodes.join(per, ["node", "group"])
+        nodes = nodes.withColumn("left", drawn_in_turn(F.col("units"), F.col("draws"), at, F.col("group") * GROUP))
+        nodes = nodes.select("group", F.explode(F.array(
+            F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("units"), F.col("begin")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("units", "left", lambda a, b: a - b).alias("units"), F.zip_with("begin", "left", lambda a, b: a + b).alias("begin")),
+        )).alias("x")).select("x.node", "group", "x.units", "x.begin")
+        if level % 8 == 7 and level + 1 < levels:
+            nodes = durable(nodes.repartition("node"))
     return nodes.withColumnRenamed("node", "shard")
 
 
 def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shards: int | None = None, shard_words: int = 4_000_000, block_docs: int = 512, seed: str = SEED) -> DataFrame:
     """What the mix takes of each row of ``docs`` (doc_id, text, source).
 
-    Returns the columns in ``carry`` (default: doc_id) and size (words; null text: 0), source_size, target (of its
-    source, in words), taken (words, repeats counted), block, and shards: the output shard of each copy. A null source is
-    a source of its own, the last. A document of no words is taken as often as its block is. Repeated rows count each. A
-    null doc_id is like an empty one. The number of shards is a power of two: ``shards`` rounded up, or by default one
-    for about ``shard_words`` words, 16 to 4096. An empty table gives no rows.
+    Returns the columns in ``carry`` (default: doc_id; names that the result has itself are left out) and size (words; null
+    text: 0), source_size, target (of its source, in words), taken (words, repeats counted), block, and shards: the output
+    shard of each copy. A null source is a source of its own, the last. A document of no words is taken as often as its block
+    is. Repeated rows count each and fare alike; a null doc_id is like an empty one. Texts of any length are counted whole.
+    The number of shards is a power of two: ``shards`` rounded up, or by default one for about ``shard_words`` words, 16 at
+    least. An empty table gives no rows.
     """
     carry = [c for c in carry or ["doc_id"] if c not in OWN]
     skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     base = docs.select(F.struct(*carry).alias("row"), skey.alias("skey"), count_words(F.col("text")).alias("size"), key.alias("key"))
     sizes = durable(base if carry == ["doc_id"] else base.drop("row"))
     if carry == ["doc_id"]:
@@ -132,42 +151,47 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
     sources = source_targets(sizes, weights, cap)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long"))
     sources = sources.withColumn("extra", whole - F.col("passes") * F.col("source_size"))
-    sources = durable(sources.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(65_536), F.ceil(F.col("documents") / block_docs))).cast("long")))
-
-    #: One row a source: joined by broadcast while there are few; else AQE splits hot sources.
-    near = F.broadcast(sources) if sources.count() <= 10_000 else sources
-
-    def placed(rows: DataFrame, columns: list[str]) -> DataFrame:
-        number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("blocks")
-        return rows.join(near.select("skey", "blocks"), "skey").select(*columns, "skey", number.alias("block"), "size", "key")
-
-    sums = placed(sizes, []).groupBy("skey", "block").agg(F.sum("size").alias("block_size"))
-    before = F.sum("block_size").over(W.partitionBy("skey").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    parts = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(sources.drop("documents"), "skey")
-    parts = parts.withColumn("place", F.row_number().over(W.partitionBy("skey").orderBy("block")) - 1)
-    parts = durable(parts)  # one row a block; block numbers that no document has are left out
-    quota = parts.groupBy("number").agg((F.max("passes") * F.count("*") + F.sum((F.col("before") < F.col("extra")).cast("long"))).alias("units"))
-    levels = ((shards - 1).bit_length() if shards else None)
-    if levels is None:
-        words = sources.agg(F.sum("source_size")).first()[0] or 0
-        levels = min(12, max(4, (int(words) // shard_words).bit_length()))
-    quotas = quota.groupBy().agg(F.array_sort(F.collect_list(F.struct("number", "units"))).alias("q")).where(F.size("q") > 0)
-    quotas = quotas.select(F.transform("q", lambda x: x["units"]).alias("units"))
-    leaves = durable(split_quotas(quotas, levels, seed)).select("shard", F.posexplode("units").alias("number", "n"))
-    begin = F.coalesce(F.sum("n").over(W.partitionBy("number").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    leaves = leaves.withColumn("begin", begin).where("n > 0")
-    units = leaves.select("number", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)).alias("unit"))
-    # unit p * (blocks there are) + place is pass p over the block at that place of the permuted order
-    there = parts.groupBy("number").agg(F.count("*").alias("there"))
-    drawn = units.join(there, "number").groupBy("number", (F.col("unit") % F.col("there")).alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "shard"))), lambda x: x["shard"].cast("int")).alias("shards"))
-    blocks = parts.join(drawn, ["number", "place"], "left").select("skey", "block", "source_size", "target", "passes", "extra", "before", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
-    rows = placed(base, ["row"]).join(blocks, ["skey", "block"])
-    within = F.sum("size").over(W.partitionBy("skey", "block").orderBy("key", "row.doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    upto = F.col("before") + F.coalesce(within, F.lit(0))
-    more = (F.col("before") < F.col("extra")) & (2 * upto + F.col("size") <= 2 * F.col("extra"))
-    rows = rows.withColumn("copies", (F.col("passes") + more.cast("long")).cast("int"))
-    own = F.slice("shards", F.lit(1), F.col("copies"))
-    return rows.select("row.*", "size", "source_size", "target", (F.size(own) * F.col("size")).cast("long").alias("taken"), "block", own.alias("shards"))
+    sources = durable(sources.withColumn("blocks", F.ceil(F.col("documents") / block_docs).cast("long")))
+    told = sources.agg(F.count("*").alias("sources"), F.sum("source_size").alias("words"), F.sum("blocks").alias("blocks")).first()
+
+    def near(rows: DataFrame) -> DataFrame:
+        """One row a source: joined by broadcast while there are few; else AQE splits hot sources."""
+        return F.broadcast(rows) if told["sources"] <= 10_000 else rows
+
+    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(near(of), "skey").withColumn("block", F.conv(F.substring("key", 1, 12), 16, 10).cast("long") % F.col("blocks"))
+
+    # sizes of the blocks before each: spans of blocks first, so that no window holds all blocks of a source
+    sums = placed(sizes, sources.select("skey", "blocks")).groupBy("skey", "block").agg(F.sum("size").alias("n")).withColumn("span", F.floor(F.col("block") / SPAN))
+    up = W.partitionBy("skey").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    spans = sums.groupBy("skey", "span").agg(F.sum("n").alias("n")).select("skey", "span", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("spans_before"))
+    inner = W.partitionBy("skey", "span").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = (F.col("spans_before") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("before")
+    blocks = sums.join(spans, ["skey", "span"]).select("skey", "block", before)
+    # the last unit's block, and how far its documents are taken
+    edge = blocks.join(near(sources.select("skey", "extra")), "skey").where("before < extra").groupBy("skey").agg(F.max(F.struct("block", (F.col("extra") - F.col("before")).alias("missing"))).alias("edge"))
+    sources = durable(sources.join(edge, "skey", "left").select(*sources.columns, F.coalesce("edge.block", F.lit(-1)).alias("edge"), F.coalesce("edge.missing", F.lit(0)).alias("missing")))
+    late = F.when(F.col("size") * 32 > F.col("missing"), F.col("size")).otherwise(0).cast("long").alias("late")
+    order = W.partitionBy("skey").orderBy("late", "key").rowsBetween(W.unboundedPreceding, -1)
+    on_edge = placed(sizes, sources.select("skey", "blocks", "edge", "missing")).where("block = edge").groupBy("skey", late, "key").agg(F.sum("size").alias("n"), F.first("missing").alias("missing"))
+    on_edge = on_edge.withColumn("upto", F.coalesce(F.sum("n").over(order), F.lit(0))).where("2 * upto + n <= 2 * missing")  # the beginning of the order
+    cuts = on_edge.groupBy("skey").agg(F.max(F.struct("late", "key")).alias("cut"))
+    sources = durable(sources.join(cuts, "skey", "left").select(*sources.columns, "cut"))
+
+    levels = (shards - 1).bit_length() if shards else max(4, (int(told["words"] or 0) // shard_words).bit_length())
+    unit = F.struct("number", (F.col("passes") * F.col("blocks") + F.col("edge") + 1).alias("units"))
+    quotas = sources.groupBy(F.floor(F.col("number") / GROUP).alias("group")).agg(F.array_sort(F.collect_list(unit)).alias("q")).select("group", F.col("q.units").alias("units"))
+    leaves = split_quotas(quotas, levels, max(1, -(-told["sources"] // GROUP)), seed)
+    leaves = leaves.select("shard", "group", F.posexplode(F.arrays_zip("units", "begin")).alias("place", "x")).where("x.units > 0")
+    units = leaves.select((F.col("group") * GROUP + F.col("place")).alias("number"), "shard", F.explode(F.sequence(F.col("x.begin"), F.col("x.begin") + F.col("x.units") - 1)).alias("unit"))
+    units = durable(units).join(near(sources.select("number", "skey", "blocks")), "number")
+    # a unit is one pass over one block; a block has a unit for each of its copies
+    drawn = units.groupBy("skey", (F.col("unit") % F.col("blocks")).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "shard"))), lambda x: x["shard"].cast("int")).alias("shards"))
+    drawn = F.broadcast(drawn) if (told["blocks"] or 0) <= 100_000 else drawn
+    rows = placed(base, sources.select("skey", "blocks", "source_size", "target", "edge", "missing", "cut")).join(drawn, ["skey", "block"], "left")
+    left_out = (F.col("block") == F.col("edge")) & ~F.coalesce(F.struct(late, "key") <= F.col("cut"), F.lit(False))
+    rows = rows.withColumn("shards", F.coalesce("shards", F.array().cast("array<int>"))).withColumn("shards", F.slice("shards", F.lit(1), F.size("shards") - left_out.cast("int")))
+    return rows.select("row.*", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), "block", "shards")
 
 
 def draw(mixed: DataFrame, seed: str = SEED) -> DataFrame:
