@@ -23,26 +23,46 @@ from .common import durable
 
 BUCKETS = 1 << 16
 MILLION = 1_000_000
-DROP = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-TAG = re.compile(r"<[^>]*>")
-DECLARED = (
-    re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I),
-    re.compile(r"<meta\b[^>]*?content-language[^>]*?\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I),
-    re.compile(r"<meta\b[^>]*?og:locale[^>]*?\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I),
-)
+HIDDEN = re.compile(r"<(?:(script|style|noscript|template)\b|!--)", re.I)
+ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
+TAG = re.compile(r"<[^<>]*>")
+HEAD = re.compile(r"<(html|meta)\b([^<>]*)>", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+CONTENT = re.compile(r"\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?:\b|_)", re.I)
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)")
 
 
+def shown(page: str) -> str:
+    """The page without comments and what scripts, styles and templates hold; what never ends is not taken out.
+
+    Each kind of end is searched for at most once beyond what is taken out, so the time is linear in the page.
+    """
+    out, at, missing = [], 0, set()
+    while m := HIDDEN.search(page, at):
+        kind = (m[1] or "").lower()
+        end = None if kind in missing else ENDS[kind].search(page, m.end())
+        if end is None:
+            missing.add(kind)
+        out.append(page[at : m.start()] if end else page[at : m.end()])
+        out.append(" " if end else "")
+        at = end.end() if end else m.end()
+    out.append(page[at:])
+    return "".join(out)
+
+
 def text_of(page: str) -> str:
-    return html.unescape(TAG.sub(" ", DROP.sub(" ", page)))
+    return html.unescape(TAG.sub(" ", shown(page)))
 
 
 def declared_in(page: str) -> str:
-    """The primary subtag of the declared language in lower case, or ''."""
-    for x in DECLARED:
-        if m := x.search(page):
-            return m[1].lower()
-    return ""
+    """The primary subtag of the declared language in lower case, or '': that of the html tag, else content-language, else og:locale."""
+    found: dict[str, str] = {}
+    for tag, rest in HEAD.findall(page):
+        lower = rest.lower()
+        kind = "html" if tag.lower() == "html" else next((x for x in ("content-language", "og:locale") if x in lower), None)
+        if kind and kind not in found and (m := (LANG if kind == "html" else CONTENT).search(rest)):
+            found[kind] = m[1].lower()
+    return found.get("html") or found.get("content-language") or found.get("og:locale") or ""
 
 
 def host_of(url: str | None) -> tuple[str, str]:
@@ -91,16 +111,16 @@ def fit_text(docs: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndarr
 
 
 def identify(pages: DataFrame, docs: DataFrame, max_docs: int = 4000, temper: float = 0.1, kappa: float = 5.0) -> DataFrame:
-    """page_id, lang, confidence, text_lang, declared, host and suffix of every row of ``pages`` (page_id, url, html).
+    """page_id, lang, confidence, text_lang, declared, host and suffix of every row of ``pages`` (page_id, url, html; other
+    columns are ignored).
 
     Text models are fitted on labelled rows of ``docs`` (doc_id, text, lang). ``temper`` scales the text's log-likelihood
     (neighbouring trigrams overlap), ``kappa`` is the weight, in pages, of the wider prior. A null or empty page has no
-    text evidence and gets what its address says; without labelled documents lang is null. Ties: the first language in
-    code point order. Repeated rows each count.
+    text evidence and gets what its address says; pages of any length are read whole; without labelled documents lang,
+    confidence and text_lang are null. Ties: the first language in code point order. Repeated rows, and rows of one or no
+    page_id, each count and get a row each; an empty table gives none.
     """
     names, table = fit_text(docs, max_docs)
-    if not names:
-        return pages.select(F.col("page_id").cast("long").alias("page_id"), *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("confidence", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"), ("suffix", "string"))))
     shipped = pages.sparkSession.sparkContext.broadcast((table * temper).astype(np.float32))  # languages x 65,536
     langs = range(len(names))
 
@@ -112,24 +132,37 @@ def identify(pages: DataFrame, docs: DataFrame, max_docs: int = 4000, temper: fl
                 n = np.bincount(trigrams(text_of(page or "")), minlength=1)
                 at = np.flatnonzero(n)
                 ll = (table[:, at].astype(np.float64) * n[at]).sum(axis=1)
-                ll -= ll.max()
+                ll -= ll.max(initial=-np.inf)
                 p = np.exp(np.maximum(ll, -600))
-                out.append((*host_of(url), declared_in(page or ""), ll.tolist(), np.rint(p / p.sum() * MILLION).astype(np.int64).tolist()))
+                out.append((*host_of(url), declared_in(page or ""), ll.tolist(), np.rint(p / max(p.sum(), 1.0) * MILLION).astype(np.int64).tolist()))
             host, suffix, declared, ll, post = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.record_batch([batch.column(0), pa.array(host, pa.string()), pa.array(suffix, pa.string()), pa.array(declared, pa.string()), pa.array(ll, pa.list_(pa.float64())), pa.array(post, pa.list_(pa.int64()))], ["page_id", "host", "suffix", "declared", "ll", "post"])
 
     seen = durable(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(read, "page_id long, host string, suffix string, declared string, ll array<double>, post array<long>"))
 
+    if not names:
+        return seen.select("page_id", *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("confidence", "double"), ("text_lang", "string"))), "declared", "host", "suffix")
+
     def summed(name: str) -> Column:
         return F.array(*(F.sum(F.col("post")[i]) for i in langs)).alias(name)
 
-    everywhere = seen.agg(summed("g")).first()["g"]  # one row
-    g = [(x or 0) for x in everywhere]
+    everywhere = seen.agg(summed("g"), F.count("*").alias("n")).first()  # one row
+    g = [(x or 0) for x in everywhere["g"]]
     prior = [(x + MILLION) / (sum(g) + MILLION * len(names)) for x in g]
-    by_suffix = seen.groupBy("suffix").agg(summed("in_suffix"))
-    by_host = seen.groupBy("host").agg(summed("in_host"))
-    by_declared = seen.groupBy("declared").agg(summed("in_declared"))
-    joined = seen.join(by_host, "host").join(by_suffix, "suffix").join(by_declared, "declared")
+    by_suffix = seen.groupBy("suffix").agg(summed("in_suffix"), F.count("*").alias("_n"))
+    by_host = seen.groupBy("host").agg(summed("in_host"), F.count("*").alias("_n"))
+    by_declared = seen.groupBy("declared").agg(summed("in_declared"), F.count("*").alias("_n"))
+
+    def joined_with(rows: DataFrame, by: DataFrame, key: str, name: str) -> DataFrame:
+        """Keys of a thousandth of all pages or more (at most 1000 by that) are joined by broadcast, and their pages spread over the join of the others."""
+        by, least = durable(by), everywhere["n"] / 1000
+        hot = by.where(F.col("_n") >= least).select(F.col(key), F.col(name).alias("_hot"))
+        rows = rows.join(F.broadcast(hot), key, "left")
+        at = F.when(F.col("_hot").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(F.lit("").alias("k"), (F.pmod(F.xxhash64("page_id"), F.lit(100_000)) + 1).alias("s")))
+        cold = by.where(F.col("_n") < least).select(F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s")).alias("_at"), name)
+        return rows.withColumn("_at", at).join(cold, "_at", "left").withColumn(name, F.coalesce("_hot", name)).drop("_hot", "_at")
+
+    joined = joined_with(joined_with(joined_with(seen, by_host, "host", "in_host"), by_suffix, "suffix", "in_suffix"), by_declared, "declared", "in_declared")
     post = F.col("post")
 
     def total(name: str) -> Column:

@@ -65,7 +65,8 @@ def link(messages: DataFrame) -> DataFrame:
     the replies from there, position its place in the conversation's reply order from 0 (messages of one turn: by role and
     text; exact repeats take places one after another); quotes and found count its quoted passages and lines, and those
     found in an earlier message. Null texts are empty. Messages without conv_id or turn quote nothing and are threads of
-    their own; a null conv_id is a conversation, its null turns come last.
+    their own; a null conv_id is a conversation, its null turns come last. Texts of any length are read whole; repeated rows
+    and messages of one turn share their links; an empty table gives no rows.
     """
     text = F.col("text")
     base = durable(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", own_words(text).alias("body"), units(text).alias("units"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")))
@@ -110,3 +111,17 @@ def link(messages: DataFrame) -> DataFrame:
     rows = with_(rows, placed, ["conv_id", "a", "thread", "b"], "p")
     inner = W.partitionBy("conv_id", "a", "thread", "b").orderBy(F.col("turn").asc_nulls_last(), "role", "digest")
     return rows.select("conv_id", "turn", "role", "body", "reply_to", "thread", F.col("far").alias("depth"), (F.col("p") + F.row_number().over(inner) - 1).alias("position"), "quotes", "found")
+
+
+def chats(linked: DataFrame, span: int = SPAN) -> DataFrame:
+    """Conversations from what ``link`` gives: conv_id, part, messages and content of each run of ``span`` places in reply order.
+
+    messages are structs of position, turn, role, reply_to, depth and body without quotes; content is the text of a chat, a
+    line with the role before each body. A conversation of more than ``span`` messages comes in several parts, so no row
+    gathers an unbounded group; messages without words of their own are left out of content.
+    """
+    item = F.struct("position", "turn", "role", "reply_to", "depth", "body")
+    rows = linked.groupBy("conv_id", F.floor(F.col("position") / span).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("messages"))
+    said = F.filter("messages", lambda m: m["body"] != "")
+    content = F.array_join(F.transform(said, lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit("\n"), m["body"])), "\n\n")
+    return rows.select("conv_id", "part", "messages", content.alias("content"))
