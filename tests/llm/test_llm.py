@@ -123,36 +123,72 @@ def test_mixing(spark):
     texts = odd(spark) + [(200 + i, " ".join(words(rng, rng.randrange(1, 40)))) for i in range(400)]
     docs = corpus(spark, texts)
     rows = mixing.mix(docs, block_docs=16).collect()
-    assert rows and len(rows) == len(texts) and Counter(map(str, rows)) == Counter(map(str, mixing.mix(docs, block_docs=16).collect()))
+    assert rows and len(rows) == len(texts) and Counter(map(str, rows)) == Counter(map(str, mixing.mix(docs.repartition(5), block_docs=16).collect()))
     by = {}
     for r in rows:
-        assert 0 <= r.taken <= 3 * r.size and r.taken == r.size * len(r.shards)
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.size * len(r.shards) and all(0 <= x < 16 for x in r.shards)
         by.setdefault((r.source_size, r.target), []).append(r)
     assert sum(t for _, t in by) == pytest.approx(sum(r.size for r in rows))
     for (_, target), group in by.items():
         assert abs(sum(r.taken for r in group) - target) <= max(r.size for r in group) / 2 + 1
-    units = mixing.split_quotas(spark.createDataFrame([([50, 0, 7, 400],)], "units array<long>"), 3).collect()
-    assert np.sum([r.units for r in units], axis=0).tolist() == [50, 0, 7, 400]
-    assert {sum(r.units) for r in units} <= {57, 58}
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.draw(mixing.mix(docs, carry=docs.columns)).count() == sum(len(r.shards) for r in mixing.mix(docs).collect())
 
 
-@pytest.mark.parametrize("block", [2_000_000, 30])
+def test_mixing_fills_up_beside_a_long_document(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(words(rng, 20)), "b") for i in range(300)] + [(900, "w " * 9000, "b")] + [(1000 + i, " ".join(words(rng, 100)), s) for i in range(300) for s in "ac"]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source_size = 15000").collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 9000  # the long one is left out or in, never instead of the small ones
+    small = mixing.mix(spark.createDataFrame([r for r in rows if r[0] != 900], "doc_id long, text string, source string")).where("source_size = 6000").collect()
+    assert abs(sum(r.taken for r in small) - small[0].target) <= 20
+
+
+def test_splitting_tree(spark):
+    one = spark.createDataFrame([(0, [50, 0, 7, 400])], "group long, units array<long>")
+    shards = sorted(mixing.split_quotas(one, 3).collect(), key=lambda r: r.shard)
+    assert np.sum([r.units for r in shards], axis=0).tolist() == [50, 0, 7, 400] and {sum(r.units) for r in shards} <= {57, 58}
+    assert [r.begin for r in shards] == np.cumsum([[0] * 4] + [r.units for r in shards[:-1]], axis=0).tolist()
+    quotas = [[(i * 7 + j) % 11 for j in range(256)] for i in range(3)]
+    many = mixing.split_quotas(spark.createDataFrame(list(enumerate(quotas)), "group long, units array<long>"), 2, groups=3).collect()
+    totals = Counter()
+    for r in many:
+        totals[r.shard] += sum(r.units)
+    assert max(totals.values()) - min(totals.values()) <= 2
+    for g in range(3):
+        assert np.sum([r.units for r in many if r.group == g], axis=0).tolist() == quotas[g]
+    # the mean of a hypergeometric draw
+    draws = spark.range(2000).select(mixing.hypergeometric(F.lit(60), F.lit(20), F.lit(30), mixing.uniform(F.lit("x"), F.col("id"))).alias("n")).select(F.avg("n").alias("m"), F.var_pop("n").alias("v")).first()
+    assert draws.m == pytest.approx(10, abs=0.2) and draws.v == pytest.approx(30 * 20 / 60 * 40 / 60 * 30 / 59, rel=0.15)
+
+
+def test_more_sources_than_a_group(spark):
+    docs = spark.createDataFrame([(i, "one two three", f"s{i % 300:03d}") for i in range(900)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source_size, r.target] += r.taken
+        target[r.source_size, r.target] = r.target
+    assert len(rows) == 900 and sum(taken.values()) == pytest.approx(2700, abs=300 * 1.5)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 90, 30])
 def test_decontamination(spark, block):
     rng = random.Random(7)
-    items = [(i, " ".join(words(rng, 20, 5000))) for i in range(8)] + [(90, None), (91, ""), (92, "Two Words")]
+    items = [(i, " ".join(words(rng, 20, 5000))) for i in range(8)] + [(90, None), (91, ""), (92, "Two Words"), (None, " ".join(words(rng, 20, 5000)))]
     w = [t.split() if t else [] for _, t in items]
-    texts = [(1, "clean " * 30), (2, " ".join(words(rng, 30, 5000) + w[0] + ["end"])), (3, " ".join(["a"] + w[1][:6] + ["X"] + w[1][7:13] + ["Y"] + w[1][14:])), (4, " ".join(w[2][:9])), (5, None), (6, ""), (7, "say two, words"), (2, " ".join(w[0]).upper())]
-    got = decontamination.find_overlaps(corpus(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
-    hits = sorted((r.doc_id, tuple(r.item_ids)) for r in got)
-    if block > 30:
-        assert hits == [(1, ()), (2, (0,)), (2, (0,)), (3, (1,)), (4, ()), (5, ()), (6, ()), (7, (92,))]
-    else:
-        assert [h for h, _ in hits] == [1, 2, 2, 3, 4, 5, 6, 7] and dict(hits)[3] == (1,)
-    assert all(len(r.item_ids) == len(r.spans) and r.contaminated == bool(r.item_ids) for r in got)
-    kept = decontamination.decontaminated(corpus(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
+    texts = [(1, "clean " * 30), (2, " ".join(words(rng, 30, 5000) + w[0] + ["end"] + w[11])), (3, " ".join(["a"] + w[1][:6] + ["X"] + w[1][7:13] + ["Y"] + w[1][14:])), (4, " ".join(w[2][:9])), (5, None), (6, "")]
+    texts += [(7, "say two, words"), (2, " ".join(w[0]).upper()), (2, "clean"), (None, " ".join(w[3])), (None, "fine"), (8, " ".join(words(rng, 30_000, 10**6) + w[4])), (9, " ".join(w[0])), (9, " ".join(w[0]))]
+    docs, bench = corpus(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_overlaps(docs, bench, block_words=block).collect()
+    want = [(1, ()), (2, ()), (2, (0,)), (2, (0, None)), (3, (1,)), (4, ()), (5, ()), (6, ()), (7, (92,)), (8, (4,)), (9, (0,)), (9, (0,)), (None, ()), (None, (3,))]
+    assert sorted(((r.doc_id, tuple(r.item_ids)) for r in got), key=str) == sorted(want, key=str)
+    assert all(len(r.item_ids) == len(r.spans) == len(r.first_words) and r.contaminated == bool(r.item_ids) for r in got)
+    assert [(r.first_words, r.equal) for r in got if r.doc_id == 3] == [([1], [18])]
+    kept = decontamination.decontaminated(docs.withColumn("key", F.lit(1)).withColumn("found", F.lit(2)), bench, block_words=block)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 4, 5, 6, None])) and kept.columns == [*docs.columns, "key", "found"]
+    assert decontamination.find_overlaps(docs.limit(0), bench, block_words=block).count() == 0
+    assert decontamination.decontaminated(docs, bench.limit(0), block_words=block).count() == len(texts)
 
 
 def test_embeddings(spark):
@@ -160,7 +196,7 @@ def test_embeddings(spark):
     base = rng.standard_normal((40, 16))
     x = np.concatenate([base, base[:20] + 0.1 * rng.standard_normal((20, 16)), base[:5], 2 * base[5:8]]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [None] + [1.0] * 15), (504, [1.0]), (None, x[0].tolist()), (505, [])]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=8).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=8, per_cell=4).collect()}
     assert len(got) == len(rows)
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
@@ -172,6 +208,11 @@ def test_embeddings(spark):
     for i in range(len(x)):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), root[i], root[i] == i)
     assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 506))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert embedding_dedup.near_duplicate_vectors(frame.limit(0)).count() == 0
+    lengths = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.1, 0.0]), (5, [1.0]), (6, [2.0]), (5, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(lengths).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)]
 
 
 def test_toxicity(spark):

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_llm import brute_cut, brute_near, corpus, words
 
 
@@ -92,3 +93,24 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_columns_that_clash(spark, tmp_path):
+    """Columns with names that operators use within are carried by every stage but the last, unchanged."""
+    sf = str(tmp_path)
+    texts, items, toxic, _ = planted()
+    names = ("chunk", "n_words", "n_removed", "kept_text", "removed", "row", "key", "content", "_id", "_key", "_again", "found", "score", "node", "size", "block", "shards", "copy", "id")
+    docs = corpus(spark, texts).select("*", *(F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, sf)
+        assert now.columns == docs.columns, name
+        now.write.parquet(f"{sf}/{name}")
+        now = spark.read.parquet(f"{sf}/{name}")
+        rows = now.collect()
+        assert rows and all(r[n] == f"{n}:{'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names), name
+    mixed = corpus_pipeline.STAGES[4][1](spark, now, sf)
+    assert mixed.count() and {"doc_id", "text", "shard", "copy", "key", "content"} <= set(mixed.columns)

@@ -76,28 +76,30 @@ class MultiIndex:
             self.visits = self.calibrated(sample, threshold, target, rng)
 
     def calibrated(self, sample: np.ndarray, threshold: float, target: float, rng: np.random.Generator, ask: int = 1000, each: int = 50) -> int:
-        """Cells to visit so that the share ``target`` of pairs is found.
+        """Cells to visit so that the share ``target`` of pairs is found, of true ones and of turned ones alike.
 
         ``ask`` vectors of the sample ask; of each one's true neighbours, ``each`` drawn evenly stand for all of them by
-        weight. One neighbour each in a random direction, at a cosine from the threshold to 1, counts like a true one.
+        weight. Turned ones are one neighbour each in a random direction, at a cosine from the threshold to 1.
         """
         asked = sample[rng.choice(len(sample), min(len(sample), ask), replace=False)]
         side = rng.standard_normal(asked.shape)
         side -= (side * asked).sum(axis=1, keepdims=True) * asked
         cosine = rng.uniform(threshold, 1, (len(asked), 1))
         turned = cosine * asked + np.sqrt(1 - cosine**2) * side / np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-300)
-        q, near, weight = [asked], [turned], [np.ones(len(asked))]
+        q, near, weight = [], [], []
         for x in asked:
             found = np.flatnonzero(sample @ x >= threshold)
             some = rng.permutation(found)[:each]
             q.append(np.repeat(x[None, :], len(some), axis=0))
             near.append(sample[some])
             weight.append(np.full(len(some), len(found) / max(1, len(some))))
-        q, near, weight = np.concatenate(q), np.concatenate(near), np.concatenate(weight)
+        return max(self.needed(asked, turned, np.ones(len(asked)), target), self.needed(np.concatenate(q), np.concatenate(near), np.concatenate(weight), target))
+
+    def needed(self, q: np.ndarray, near: np.ndarray, weight: np.ndarray, target: float) -> int:
         ranks = np.minimum(self.rank(q, self.cells(near)), self.rank(near, self.cells(q)))  # a pair is found if either visits the other
         order = np.argsort(ranks, kind="stable")
         at = np.searchsorted(np.cumsum(weight[order]), target * weight.sum())
-        return int(min(self.k**2, max(2, ranks[order[min(at, len(order) - 1)]] + 1)))
+        return int(min(self.k**2, max(2, ranks[order[min(at, len(order) - 1)]] + 1))) if len(order) else 2
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
