@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, carry=docs.columns)
-    return mixing.draw(mixed).select(*[c for c in docs.columns if c in mixed.columns], "copy", "shard", "size", "source_size", "target")
+    return mixing.draw(mixed).select(*[c for c in docs.columns if c not in mixing.OWN], "copy", "shard", "size", "source_size", "target")
 
 
 STAGES = [
