@@ -7,11 +7,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark.errors import BadRequest, Closed, Immutable, InvalidTtl, Locked, PayloadEmpty, TopicEmpty
 from tidemark.functions.durations import parse_duration
 from tidemark.operators import kv, metrics, pubsub, reads
 from tidemark.operators.match import match, match_by_regex
 from tidemark.plans import queries as catalogue
-from tidemark.sources.store import Immutable, Store, opened, parsed, sealed, sync_totals
+from tidemark.sources.store import Entry, Options, Store, entries, opened, parsed, sealed, sync_totals
 from tidemark.streaming import ingest
 
 NOW = datetime(2024, 1, 31)
@@ -100,6 +101,7 @@ def test_query_limits():
 def test_kv(spark):
     log = spark.createDataFrame([(1, k, "put", None, f"v{k}") for k in range(255)] + [(2, 3, "put", None, "new")], "time_id long, key long, op string, ref_time_id long, value string")
     assert kv.size(log).first()[0] == 256
+    assert kv.lookup(log, 2, 3).first().value == "new" and kv.lookup(log, 2, 4).count() == 0
     gone = log.unionByName(kv.delete_newest(log, log))
     assert kv.latest(gone).collect()[0][1:] == (1, "v3") and kv.latest(gone).count() == 1
     assert kv.size(kv.free(log, 1)).first()[0] == 1
@@ -164,9 +166,10 @@ def test_message_ids(spark):
 
 def test_authorised(spark):
     requests = spark.createDataFrame([(1, "k", "a.b"), (1, "k", "a.c"), (1, "all", "x"), (2, "k", "a.b"), (1, None, "a.b")], "contract long, key string, topic string")
-    keys = spark.createDataFrame([(1, "k", "a.b", 3), (1, "all", "...", 1)], "contract long, key string, target string, mask int")
-    assert sorted(tuple(r) for r in pubsub.authorised(requests, keys, 1).collect()) == [(1, "all", "x", True), (1, "k", "a.b", False)]
-    assert pubsub.authorised(requests, keys, 2).count() == 1
+    keys = spark.createDataFrame([(1, "k", "a.b", 24), (1, "all", "...", 24)], "contract long, key string, target string, mask int")
+    assert sorted(tuple(r) for r in pubsub.authorised(requests, keys, 8).collect()) == [(1, "all", "x", True), (1, "k", "a.b", False)]
+    assert [tuple(r) for r in pubsub.authorised(requests, keys, 16, publish=True).collect()] == [(1, "k", "a.b", False)]
+    assert pubsub.authorised(requests, keys, 2).count() == 0
 
 
 def test_sealed(spark):
@@ -182,6 +185,113 @@ def test_totals_and_statsd(spark):
     assert tuple(metrics.statsd(s).first()) == ("m", 3, 2, 7, 1)
 
 
+def test_batches_commit_whole_or_not(spark, tmp_path):
+    root = str(tmp_path / "t")
+    rows = lambda *x: entries(spark, [Entry(t, p, i) for i, (t, p) in enumerate(x)])
+    with Store(spark, root, mutable=True) as store:
+        store.put(rows(("a", "1"), ("b", "2")), NOW)
+
+        def good(b):
+            b.put(rows(("c", "3")))
+            b.delete(store.read().where("seq = 1"))
+            b.put(rows(("d", "4"), ("e", "5")), contract=9)
+
+        store.batch(good, NOW)
+        found = sorted((r.seq, r.topic, r.contract) for r in store.read().select("seq", "topic", "contract").collect())
+        assert [x[:2] for x in found] == [(2, "b"), (3, "c"), (4, "d"), (5, "e")] and [x[2] for x in found[2:]] == [9, 9]
+
+        def bad(b):
+            b.put(rows(("f", "6")))
+            b.delete(store.read().where("seq = 2"))
+            raise KeyError("no")
+
+        def invalid(b):
+            b.put(rows(("f", "6")))
+            b.put(rows(("g", "")))
+
+        for work, error in ((bad, KeyError), (invalid, PayloadEmpty)):
+            with pytest.raises(error):
+                store.batch(work, NOW)
+        assert store.count() == 4 and store.last_seq() == 5 and store.file_size() > 0
+        with pytest.raises(Locked):
+            Store(spark, root).__enter__()
+        with pytest.raises(TopicEmpty):
+            store.put(rows(("?ttl=1h", "x")), NOW)
+        with pytest.raises(InvalidTtl):
+            Entry("a", "b").with_ttl("soon", NOW)
+        store.put(entries(spark, [Entry("t", "old").with_ttl("1h", NOW), Entry("t", "new", 1)]), NOW)
+        assert store.expire(NOW + timedelta(hours=2)) == 1 and store.expire(NOW + timedelta(hours=2)) == 0 and store.count() == 5
+    with pytest.raises(Closed):
+        store.count()
+    with Store(spark, root, options=Options(default_query_limit=1)) as again:
+        assert again.get(reads.Query("t"), NOW).count() == 1
+    Path(root, "log/kind=put/contract=9/broken.parquet").write_bytes(b"no parquet")
+    assert Store(spark, root, options=Options(skip_corrupt=True)).count() == 5
+    with pytest.raises(BadRequest):
+        Store(spark, str(tmp_path / "none")).read()
+
+
+def test_kv_blocks_and_batches(spark, tmp_path):
+    log = [(1, 5, "put", None, "a", 0), (1, 5, "put", None, "b", 1), (1, 6, "put", None, "x", 2), (1, 6, "del", 1, None, 3), (1, 6, "put", None, "y", 4), (1, 7, "put", None, "z", 5), (2, 7, "del", 1, None, 0)]
+    for seed in range(3):
+        rows = log[seed:] + log[:seed]
+        got = {r.key: r.value for r in kv.latest(spark.createDataFrame(rows, kv.LOG)).collect()}
+        assert got == {5: "b", 6: "y"}
+    store = kv.LogStore(spark, str(tmp_path / "kv"))
+    rows = lambda *x: spark.createDataFrame([(k, v) for k, v in x], "key long, value string")
+    assert store.put(rows((1, "a"), (2, "b"))) == 1
+
+    def work(b):
+        b.put(rows((1, "A")))
+        b.delete(rows((2, None)))
+        b.put(rows((3, "c")))
+        b.delete(rows((3, None)))
+        b.put(rows((3, "C")))
+
+    assert store.batch(work) == 2
+    assert {(r.key, r.time_id, r.value) for r in kv.latest(store.log()).collect()} == {(1, 2, "A"), (3, 2, "C")}
+    store.delete(rows((1, None)))
+    assert {(r.key, r.value) for r in kv.latest(store.log()).collect()} == {(1, "a"), (3, "C")}
+
+    def fails(b):
+        b.put(rows((9, "x")))
+        raise KeyError("no")
+
+    with pytest.raises(KeyError):
+        store.batch(fails)
+    assert kv.size(store.log()).first()[0] == 2
+    assert tuple(kv.varz(store.log()).first()) == (2, 5, 3, 3)
+
+
+def test_stddev_beside_a_large_offset(spark):
+    rows = [("a", 10**12 + x) for x in (0, 1000, 2000, 3000)] + [("b", 10**13 + x) for x in (0, 100, 200) * 50]
+    got = {r.metric: r.stddev for r in metrics.statistics(spark.createDataFrame(rows, "metric string, duration_ns long")).collect()}
+    assert got == {"a": 1118, "b": 81}
+
+
+def test_stream_restart_windows_and_packets(spark, tmp_path):
+    schema = "seq long, topic string, payload string, created_at timestamp_ntz, conn_id long"
+    part = lambda n, at: spark.createDataFrame([(n * 10 + i, "a.b", "é" * 3, at + timedelta(milliseconds=300 * i), 5) for i in range(10)], schema).coalesce(1)
+    part(0, NOW).write.parquet(str(tmp_path / "in/0"))
+    read = lambda: ingest.read_stream(spark, str(tmp_path / "in/*"), part(0, NOW).schema)
+    for n in (0, 1):  # a restart takes only what is new
+        if n:
+            part(n, NOW + timedelta(minutes=5)).write.parquet(str(tmp_path / "in/1"))
+        ingest.append_stream(read(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 10 * (n + 1)
+    ingest.tumbling(read()).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.start, r.messages) for r in spark.table("windows").collect()) == [(NOW, 4), (NOW + timedelta(seconds=1), 3), (NOW + timedelta(seconds=2), 3)]  # the last windows are still open
+    ingest.triggered_batches(read(), 100, 30).writeStream.format("memory").queryName("bytes").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.messages, r.bytes) for r in spark.table("bytes").where("batch < 4").collect()} == {(5, 30)}  # bytes, not characters
+    sent = []
+    ingest.deliver(read(), lambda rows, n: sent.append((n, rows.count())), str(tmp_path / "cp2")).awaitTermination()
+    assert sent == [(0, 10), (1, 10)]
+    lines = spark.createDataFrame([('{"kind":"PUBLISH","contract":1,"message_id":7,"topic":"a.b","payload":"x"}',), ("no json",)], "value string")
+    got = ingest.decoded(lines).collect()
+    assert got[0].message_id == 7 and got[0].corrupt is None and got[1].corrupt == "no json"
+    assert ingest.decoded(ingest.encoded(ingest.decoded(lines).limit(1))).first() == got[0]
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no bundled tables")
 def test_queries_equal_sql(spark):
     d, con = "/root/testdata/sf0.001", duckdb.connect()

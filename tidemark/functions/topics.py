@@ -58,7 +58,36 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.when(is_multi(pattern), below).otherwise(body), F.lit("$"))
 
 
+#: Access bits, fixed values.
+OWNER, ADMIN, READ, WRITE = 2, 4, 8, 16
+
+
 def access_mask(access: Column) -> Column:
-    """Bits of an access string: r 1, w 2, a (admin) 4, o (owner) 8."""
+    """Bits of an access string: o (owner) 2, a (admin) 4, r 8, w 16."""
     bit = lambda c, n: F.when(access.contains(c), n).otherwise(0)
-    return bit("r", 1) + bit("w", 2) + bit("a", 4) + bit("o", 8)
+    return bit("o", OWNER) + bit("a", ADMIN) + bit("r", READ) + bit("w", WRITE)
+
+
+def _little_endian(number: Column, size: int) -> Column:
+    digits = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
+
+
+def _number(raw: Column, at: int, size: int) -> Column:
+    digits = F.hex(F.substring(raw, at + 1, size))
+    return F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))), 16, -10).cast("long")
+
+
+#: The epoch of message ids, in Unix seconds: a fixed value.
+EPOCH = 1555770000
+
+
+def message_id(contract: Column, seq: Column, seconds: Column) -> Column:
+    """16 bytes, each part with its lowest byte first: 2**32 - 1 less the seconds since EPOCH, contract, seq."""
+    stamp = F.lit(0xFFFFFFFF) - (seconds - EPOCH)
+    return F.unhex(F.concat(_little_endian(stamp.cast("long"), 4), _little_endian(contract.cast("long"), 4), _little_endian(seq.cast("long"), 8)))
+
+
+def message_id_parts(raw: Column) -> Column:
+    """struct<contract, seq, seconds> of a message id."""
+    return F.struct(_number(raw, 4, 4).alias("contract"), _number(raw, 8, 8).alias("seq"), (F.lit(0xFFFFFFFF) - _number(raw, 0, 4) + EPOCH).alias("seconds"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,12 +71,14 @@ def statistics(samples: DataFrame) -> DataFrame:
         F.max("n").alias("n"), F.sum(x * F.col("times")).alias("cumulative"),
         F.when(F.min(F.abs(x)) > 0, F.floor(F.max("n") / F.sum(F.col("times") / F.when(x != 0, x)))).alias("hmean"),
         pick(F.floor(F.col("n") / 2)).alias("p50"), pick(place(0.75)).alias("p75"), pick(place(0.95)).alias("p95"), pick(place(0.99)).alias("p99"), pick(place(0.999)).alias("p999"),
-        F.sum(x.cast("decimal(19,0)") * x.cast("decimal(19,0)") * F.col("times").cast("decimal(10,0)")).alias("_sq"), F.sum(long_n * x).alias("_ls"), F.sum(long_n).alias("_ln"), F.sum(short_n * x).alias("_ss"), F.sum(short_n).alias("_sn"),
+        F.sum(long_n * x).alias("_ls"), F.sum(long_n).alias("_ln"), F.sum(short_n * x).alias("_ss"), F.sum(short_n).alias("_sn"),
         F.min(x).alias("min"), F.max(x).alias("max"),
     )
     n, total = F.col("n"), F.col("cumulative")
     avg = F.floor(total / n)
-    spread = (F.col("_sq").cast("double") - 2.0 * avg * total + n.cast("double") * avg * avg) / n
+    # squares around the whole-number mean, from the variance around the exact one: no difference of large sums
+    spread = F.col("_var") + F.pow((total - avg * n) / n, 2)
+    out = out.join(samples.groupBy("metric").agg(F.var_pop(x).alias("_var")), "metric")
     return out.select(
         "metric", "n", "cumulative", "hmean", avg.alias("avg"), "p50", "p75", "p95", "p99", "p999", F.floor(F.sqrt(spread)).alias("stddev"),
         F.when(F.col("_ln") <= 1, F.col("max")).otherwise(F.floor(F.col("_ls") / F.greatest(F.col("_ln"), F.lit(1)))).alias("long5p"),
@@ -84,6 +88,16 @@ def statistics(samples: DataFrame) -> DataFrame:
 
 
 def uptime(seconds: Column) -> Column:
-    """1d2h3m4s; parts before the first that is not 0 are left out."""
-    d, h, m, s = F.floor(seconds / 86400), F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60
-    return F.when(d > 0, F.format_string("%dd%dh%dm%ds", d, h, m, s)).when(h > 0, F.format_string("%dh%dm%ds", h, m, s)).when(m > 0, F.format_string("%dm%ds", m, s)).otherwise(F.format_string("%ds", s))
+    """1y2d3h4m5s; parts before the first that is not 0 are left out."""
+    y, d, h, m, s = F.floor(seconds / 31_536_000), F.floor(seconds / 86400) % 365, F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60
+    out = F.when(y > 0, F.format_string("%dy%dd%dh%dm%ds", y, d, h, m, s)).when(d > 0, F.format_string("%dd%dh%dm%ds", d, h, m, s))
+    return out.when(h > 0, F.format_string("%dh%dm%ds", h, m, s)).when(m > 0, F.format_string("%dm%ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def timed(call, *args, metric: str, into: list) -> object:
+    """Run ``call`` and add (metric, ord, duration_ns) to ``into``, samples for ``statistics``."""
+    began = time.perf_counter_ns()
+    try:
+        return call(*args)
+    finally:
+        into.append((metric, len(into), time.perf_counter_ns() - began))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.topics import access_mask, is_wildcard, levels_of, normal
 from .match import match
 
 
@@ -49,11 +50,60 @@ def allowed(requests: DataFrame, flag: int) -> DataFrame:
     return requests.where(F.col("mask").bitwiseAND(flag) == flag)
 
 
-def authorised(requests: DataFrame, keys: DataFrame, flag: int) -> DataFrame:
-    """Requests (contract, key, topic) whose key (contract, key, target, mask) has the flag and is for the topic or, with target ``...``, for all; wildcard tells the latter."""
+def generate_keys(requests: DataFrame, secret: str) -> DataFrame:
+    """Keys (contract, key, target, mask) for requests (contract, topic, access such as rw): the key names contract, target and
+    mask under the secret. A topic of more than 23 levels gets none; an access string without o, a, r or w has mask 0."""
+    rows = requests.where(F.size(levels_of(F.col("topic"))) <= 23).select("contract", normal(F.col("topic")).alias("target"), access_mask(F.col("access")).alias("mask"))
+    text = F.concat_ws("\u0000", F.lit(secret), "contract", "target", "mask")
+    return rows.select("contract", F.substring(F.sha2(text, 256), 1, 26).alias("key"), "target", "mask")
+
+
+def authorised(requests: DataFrame, keys: DataFrame, flag: int, publish: bool = False) -> DataFrame:
+    """Requests (contract, key, topic) whose key (contract, key, target, mask) has the flag and is for the topic or, with target
+    ``...``, for all; wildcard tells that the target is a pattern. With ``publish`` such keys are forbidden."""
     held = keys.where(F.col("mask").bitwiseAND(flag) == flag).select("contract", "key", "target")
     found = requests.join(held, ["contract", "key"]).where((F.col("target") == F.col("topic")) | (F.col("target") == "..."))
-    return found.withColumn("wildcard", F.col("target") == "...").drop("target")
+    found = found.withColumn("wildcard", is_wildcard(F.col("target"))).drop("target")
+    return found.where(~F.col("wildcard")) if publish else found
+
+
+def log_key(session_id: Column, message_id: Column) -> Column:
+    """The message's number in the upper half, the session's in the lower."""
+    return F.shiftleft(message_id.cast("long"), 32) + session_id.cast("long")
+
+
+def session_log(packets: DataFrame) -> DataFrame:
+    """What sessions keep for a resume: key, session_id, message_id and kind of packets (session_id, message_id, ord, way, kind).
+
+    A PUBLISH on the way out and a RECEIPT on the way in are kept until a COMPLETE goes out; the last by ord counts.
+    """
+    kept = ((F.col("way") == "out") & F.col("kind").isin("PUBLISH", "COMPLETE")) | ((F.col("way") == "in") & (F.col("kind") == "RECEIPT"))
+    last = packets.where(kept).groupBy("session_id", "message_id").agg(F.max_by("kind", "ord").alias("kind")).where("kind <> 'COMPLETE'")
+    return last.select(log_key(F.col("session_id"), F.col("message_id")).alias("key"), "session_id", "message_id", "kind")
+
+
+def of_session(key: Column, session_id: Column) -> Column:
+    return key.bitwiseAND(0xFFFFFFFF) == session_id
+
+
+def resumed(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What sessions (session_id) are notified of again when they resume: their kept PUBLISH packets."""
+    return log.where("kind = 'PUBLISH'").join(sessions.select("session_id"), of_session(log["key"], sessions["session_id"]), "left_semi")
+
+
+def reset(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The log without what these sessions keep."""
+    return log.join(sessions.select("session_id"), of_session(log["key"], sessions["session_id"]), "left_anti")
+
+
+def server_varz(connections: DataFrame, subscriptions: DataFrame, messages: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """One row: connections, subscriptions, in_msgs, in_bytes, out_msgs and out_bytes."""
+
+    def traffic(rows: DataFrame, way: str) -> DataFrame:
+        return rows.agg(F.count("*").alias(f"{way}_msgs"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias(f"{way}_bytes"))
+
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return count(connections, "connections").crossJoin(count(subscriptions, "subscriptions")).crossJoin(traffic(messages, "in")).crossJoin(traffic(deliveries, "out"))  # one row each
 
 
 def message_ids(deliveries: DataFrame, span: int = 65_536) -> DataFrame:

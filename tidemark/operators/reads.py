@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import BadRequest, TopicEmpty, TopicTooLarge
 from ..functions.durations import parse_duration
 from ..functions.topics import is_wildcard, pattern_regex
 from .match import match
@@ -16,10 +17,6 @@ from .match import match
 DEFAULT_LIMIT, MAX_LIMIT, MASTER_CONTRACT = 1000, 100_000, 3376684800
 
 
-class BadRequest(ValueError):
-    """An invalid topic, payload or option."""
-
-
 @dataclass(frozen=True)
 class Query:
     """topic with options (``?last=1h`` or ``?last=10``); now is explicit."""
@@ -38,14 +35,14 @@ class Query:
     def with_last(self, last: str) -> Query:
         return replace(self, last=last)
 
-    def resolve(self, now: datetime) -> tuple[str, datetime | None, int]:
+    def resolve(self, now: datetime, default_limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT) -> tuple[str, datetime | None, int]:
         """Normalised topic, cutoff (or none) and limit."""
         head, _, tail = self.topic.partition("?")
         levels = [x for x in head.split(".") if x]
         if not levels and not head.endswith("..."):
-            raise BadRequest("the topic is empty")
-        if len(self.topic) > 65_536:
-            raise BadRequest("the topic is too large")
+            raise TopicEmpty("the topic is empty")
+        if len(self.topic.encode()) > 65_536:
+            raise TopicTooLarge("the topic is too large")
         options: dict[str, str] = {}
         for item in tail.partition("?")[0].split("&"):
             k, _, v = item.partition("=")
@@ -60,7 +57,7 @@ class Query:
                     cutoff = (now - timedelta(microseconds=parse_duration(last) / 1000)).replace(microsecond=0)
                 except ValueError as e:
                     raise BadRequest(str(e)) from e
-        return ".".join(levels) + ("..." if head.endswith("...") else ""), cutoff, min(limit or DEFAULT_LIMIT, MAX_LIMIT)
+        return ".".join(levels) + ("..." if head.endswith("...") else ""), cutoff, min(limit or default_limit, max_limit)
 
 
 def alive(now: datetime) -> Column:
@@ -118,6 +115,26 @@ def topics(messages: DataFrame) -> DataFrame:
     return messages.groupBy("contract", "topic").agg(F.count("*").alias("messages"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def by_seq(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that ``wanted`` (contract, seq) names."""
+    return messages.join(wanted.select("contract", "seq").distinct(), ["contract", "seq"], "left_semi")
+
+
+def ranges(messages: DataFrame) -> DataFrame:
+    """contract, first_seq and last_seq of each run of consecutive numbers.
+
+    Only the ends of runs are put in order, not the rows.
+    """
+    seqs = messages.select("contract", "seq").distinct()
+
+    def ends(step: int, name: str) -> DataFrame:
+        beside = seqs.select("contract", (F.col("seq") + step).alias("seq"))
+        place = F.row_number().over(W.partitionBy("contract").orderBy("seq")).alias("place")
+        return seqs.join(beside, ["contract", "seq"], "left_anti").select("contract", F.col("seq").alias(name), place)
+
+    return ends(1, "first_seq").join(ends(-1, "last_seq"), ["contract", "place"]).select("contract", "first_seq", "last_seq")
+
+
 def relay(messages: DataFrame, requests: DataFrame, now: datetime, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """History for many requests (request_id, contract, pattern, last_seconds): the newest ``limit`` rows of each, newest first."""
     rows = match(messages, requests).where(alive(now))

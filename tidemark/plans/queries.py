@@ -7,11 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.topics import access_mask, depth_of, is_multi, is_wildcard, key_and_topic, levels_of, normal, option, topic_of
+from ..functions.topics import READ, WRITE, access_mask, depth_of, is_multi, is_wildcard, key_and_topic, levels_of, message_id, message_id_parts, normal, option, topic_of
 from ..operators import kv, metrics, pubsub, reads
 from ..operators.match import match
 from ..sources import store
 from ..sources.store import conversations_as_log, events_as_messages
+from ..streaming import ingest
 
 NOW = datetime(2024, 1, 31)
 PATTERNS = ((0, "..."), (1, "app..."), (2, "app.*.view"), (3, "*.u3.click"), (0, "app.u4.*"), (1, "app.*.*"), (2, "app.u2.purchase"), (3, "app.u3..."), (0, "app"), (1, "x..."), (2, "*"))
@@ -145,7 +146,7 @@ def flow_state(spark: SparkSession, d: str) -> DataFrame:
 def key_access_mask(spark: SparkSession, d: str) -> DataFrame:
     access = F.element_at(F.array(*map(F.lit, ("r", "w", "rw", "rwa", "o", ""))), (F.col("seq") % 6 + 1).cast("int"))
     r = events_as_messages(spark, d).select("seq", access_mask(access).alias("mask"))
-    return pubsub.allowed(r, 2)
+    return pubsub.allowed(r, WRITE)
 
 
 def dedup_seq(spark: SparkSession, d: str) -> DataFrame:
@@ -213,15 +214,95 @@ def secure_topics(spark: SparkSession, d: str) -> DataFrame:
     key, topic = key_and_topic(F.col("raw"))
     raw = F.concat(F.lit("k"), F.col("contract").cast("string"), F.lit("/"), "topic", F.lit("?ttl=1h"))
     requests = events_as_messages(spark, d).select("contract", "seq", raw.alias("raw")).select("contract", "seq", key.alias("key"), topic.alias("topic"))
-    keys = spark.createDataFrame([(0, "k0", "...", 3), (1, "k1", "app.u1.click", 1), (2, "k2", "...", 2), (3, "k9", "...", 1)], "contract long, key string, target string, mask int")
-    return pubsub.authorised(requests, keys, 1)
+    keys = spark.createDataFrame([(0, "k0", "...", READ + WRITE), (1, "k1", "app.u1.click", READ), (2, "k2", "...", WRITE), (3, "k9", "...", READ)], "contract long, key string, target string, mask int")
+    return pubsub.authorised(requests, keys, READ)
 
 
 def message_ids(spark: SparkSession, d: str) -> DataFrame:
     return pubsub.message_ids(_deliveries(spark, d), 1000).select("conn_id", "seq", "sub_id", "message_id")
 
 
+def get_wildcard(spark: SparkSession, d: str) -> DataFrame:
+    """What a static topic finds where every fifth message is stored under a pattern."""
+    e = events_as_messages(spark, d)
+    stored = F.when(F.col("seq") % 20 == 0, "...").when(F.col("seq") % 20 == 5, "app...").when(F.col("seq") % 20 == 10, "app.*.click").when(F.col("seq") % 20 == 15, "*.u2.*").otherwise(F.col("topic"))
+    return reads.get(e.withColumn("topic", stored), reads.Query("app.u2.click", contract=2, limit=200), NOW).select("seq", "topic")
+
+
+def kv_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log with many entries of a key in one block: puts replace, deletes remove, later puts stand."""
+    e = events_as_messages(spark, d)
+    op = F.when(F.col("seq") % 7 == 0, "del").otherwise("put")
+    block = F.floor(F.col("seq") / 100)
+    return kv.latest(e.select(block.alias("time_id"), F.col("user_id").alias("key"), op.alias("op"), F.when(op == "del", block).alias("ref_time_id"), F.col("payload").alias("value"), F.col("seq").alias("ord")))
+
+
+def kv_varz(spark: SparkSession, d: str) -> DataFrame:
+    log = conversations_as_log(spark, d)
+    return kv.varz(log.unionByName(kv.delete_newest(log, log.where("key % 3 = 0"))))
+
+
+def stddev_large(spark: SparkSession, d: str) -> DataFrame:
+    """Durations beside a large offset."""
+    return metrics.statistics(_samples(spark, d).withColumn("duration_ns", F.lit(10**12) + F.col("ord") % 1000)).select("metric", "n", "avg", "stddev")
+
+
+def session_log(spark: SparkSession, d: str) -> DataFrame:
+    return pubsub.session_log(_packets(spark, d))
+
+
+def session_resume(spark: SparkSession, d: str) -> DataFrame:
+    return pubsub.resumed(pubsub.session_log(_packets(spark, d)), spark.createDataFrame([(1,), (3,), (5,)], "session_id long")).select("key", "message_id")
+
+
+def session_reset(spark: SparkSession, d: str) -> DataFrame:
+    return pubsub.reset(pubsub.session_log(_packets(spark, d)), spark.createDataFrame([(1,), (3,), (5,)], "session_id long")).select("key", "kind")
+
+
+def _packets(spark: SparkSession, d: str) -> DataFrame:
+    kinds, ways = F.array(*map(F.lit, ("PUBLISH", "NOTIFY", "RECEIPT", "COMPLETE", "PUBLISH"))), F.array(*map(F.lit, ("out", "out", "in", "out", "in")))
+    at = (F.col("seq") % 5 + 1).cast("int")
+    return events_as_messages(spark, d).select(F.col("user_id").alias("session_id"), (F.col("seq") % 11).alias("message_id"), F.col("seq").alias("ord"), F.element_at(ways, at).alias("way"), F.element_at(kinds, at).alias("kind"))
+
+
+def server_varz(spark: SparkSession, d: str) -> DataFrame:
+    connections = spark.createDataFrame([(100,), (102,)], "conn_id long")
+    return pubsub.server_varz(connections, _subscriptions(spark), events_as_messages(spark, d), _deliveries(spark, d))
+
+
+def keygen(spark: SparkSession, d: str) -> DataFrame:
+    access = F.element_at(F.array(*map(F.lit, ("r", "w", "rw", "o"))), (F.col("seq") % 4 + 1).cast("int"))
+    return pubsub.generate_keys(events_as_messages(spark, d).select("contract", "topic", access.alias("access")).distinct(), "secret")
+
+
+def publish_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """A wildcard key may read and not publish."""
+    keys = spark.createDataFrame([(0, "k0", "...", READ + WRITE), (1, "k1", "app.u1.click", WRITE)], "contract long, key string, target string, mask int")
+    requests = events_as_messages(spark, d).select("contract", F.concat(F.lit("k"), F.col("contract").cast("string")).alias("key"), "topic", "seq")
+    return pubsub.authorised(requests, keys, WRITE, publish=True).select("contract", "key", "seq")
+
+
+def message_id_codec(spark: SparkSession, d: str) -> DataFrame:
+    raw = message_id(F.col("contract"), F.col("seq"), F.unix_seconds(F.col("created_at").cast("timestamp")))
+    return events_as_messages(spark, d).select("seq", F.lower(F.hex(raw)).alias("id"), message_id_parts(raw).alias("p")).select("seq", "id", F.col("p.contract").alias("contract"), F.col("p.seq").alias("again"), F.col("p.seconds").alias("seconds"))
+
+
+def seq_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return reads.ranges(events_as_messages(spark, d).withColumn("contract", F.lit(0).cast("long")).where("seq % 13 <> 0"))
+
+
+def seq_lookup(spark: SparkSession, d: str) -> DataFrame:
+    e = events_as_messages(spark, d)
+    return reads.by_seq(e, e.where("seq % 250 = 1").select("contract", "seq")).select("contract", "seq", "payload")
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows of event time by topic."""
+    return ingest.tumbling(events_as_messages(spark, d), "1 hour")
+
+
 _ALL = (
+    get_wildcard, kv_ordered, kv_varz, stddev_large, session_log, session_resume, session_reset, server_varz, keygen, publish_allowed, message_id_codec, seq_ranges, seq_lookup, event_windows,
     get_last_topk, get_contract, parse_topics, live_at_now, not_deleted, match_patterns, topic_latest_k, topic_dictionary, relay, fanout, delivery_plan, batch_windows, kv_latest, kv_lookup, kv_keys,
     kv_size, kv_delete_replay, sample_stats, bounded_sample, counters, gauges, varz, uptime, flow_state, key_access_mask, dedup_seq, session_refcount, connected_deliveries, second_buckets,
     kv_live_keys, statsd, varz_json, sync_totals, sync_new, memory_first, expired_by_minute, ttl_expiry, encrypted_payloads, secure_topics, message_ids,
@@ -261,7 +342,23 @@ d as (select r.metric, floor(sqrt(sum(((x - avg) * (x - avg))::double) / max(r.n
 
 def oracle_sql() -> dict:
     rank = "row_number() over (partition by {} order by seq desc)::int"
+    pk = f"{_M}, k as (select user_id as session_id, seq % 11 as message_id, ['PUBLISH', 'NOTIFY', 'RECEIPT', 'COMPLETE', 'PUBLISH'][seq % 5 + 1] as kind, seq from m where seq % 5 in (0, 2, 3)), l as (select session_id, message_id, arg_max(kind, seq) as kind from k group by all having arg_max(kind, seq) <> 'COMPLETE'), s as (select message_id * 4294967296 + session_id as key, * from l)"
+    mid = "lower(concat(b[7:8], b[5:6], b[3:4], b[1:2], c[7:8], c[5:6], c[3:4], c[1:2], q[15:16], q[13:14], q[11:12], q[9:10], q[7:8], q[5:6], q[3:4], q[1:2]))"
     return {
+        "get_wildcard": f"{_M}, w as (select *, case seq % 20 when 0 then '...' when 5 then 'app...' when 10 then 'app.*.click' when 15 then '*.u2.*' else topic end as t from m) select seq, t as topic from w where contract = 2 and (seq % 20 in (0, 5, 10, 15) or t = 'app.u2.click') and (expires_at is null or expires_at > {_NOW}) order by seq desc limit 200",
+        "kv_ordered": f"{_M}, l as (select seq // 100 as time_id, user_id as key, arg_max(payload, seq) as value, arg_max(seq % 7 = 0, seq) as gone from m group by all) select key, max(time_id) as time_id, arg_max(value, time_id) as value from l where not gone group by key",
+        "kv_varz": "with n as (select distinct conv_id as k, max(turn) over (partition by conv_id) as t from conversations where conv_id % 3 = 0), p as (select distinct turn, conv_id from conversations) select (select count(*) from p) - (select count(*) from n) as count, (select count(*) from conversations) as puts, (select count(*) from n) as dels, (select count(distinct turn) from conversations) as blocks",
+        "stddev_large": f"{_M}, x as (select event_type as metric, seq % 1000 as x from m), a as (select metric, count(*) as n, floor(avg(x))::bigint as a from x group by metric) select metric, any_value(n) as n, any_value(a) + 1000000000000 as avg, floor(sqrt(sum((x - a) * (x - a)) / any_value(n)))::bigint as stddev from x join a using (metric) group by metric",
+        "session_log": f"{pk} select key, session_id, message_id, kind from s",
+        "session_resume": f"{pk} select key, message_id from s where kind = 'PUBLISH' and session_id in (1, 3, 5)",
+        "session_reset": f"{pk} select key, kind from s where session_id not in (1, 3, 5)",
+        "server_varz": f"{_M}{_P} select 2::bigint as connections, {len(SUBSCRIPTIONS)}::bigint as subscriptions, (select count(*) from m) as in_msgs, (select sum(octet_length(payload::blob)) from m)::bigint as in_bytes, (select count(*) from f) as out_msgs, (select sum(octet_length(payload::blob)) from f)::bigint as out_bytes",
+        "keygen": f"{_M}, k as (select distinct contract, topic as target, [8, 16, 24, 2][seq % 4 + 1] as mask from m) select contract, substr(sha256(concat_ws(chr(0), 'secret', contract, target, mask)), 1, 26) as key, target, mask from k",
+        "publish_allowed": f"{_M} select contract, 'k1' as key, seq from m where contract = 1 and topic = 'app.u1.click'",
+        "message_id_codec": f"{_M}, h as (select seq, contract, floor(epoch(created_at))::bigint as seconds, printf('%08X', 4294967295 - (floor(epoch(created_at))::bigint - 1555770000)) as b, printf('%08X', contract) as c, printf('%016X', seq) as q from m) select seq, {mid} as id, contract, seq as again, seconds from h",
+        "seq_ranges": f"{_M}, g as (select seq, seq - row_number() over (order by seq) as g from m where seq % 13 <> 0) select 0::bigint as contract, min(seq) as first_seq, max(seq) as last_seq from g group by g",
+        "seq_lookup": f"{_M} select contract, seq, payload from m where seq % 250 = 1",
+        "event_windows": f"{_M} select date_trunc('hour', created_at) as start, topic, count(*) as messages from m group by all",
         "kv_live_keys": "select distinct turn as time_id, conv_id as key from conversations",
         "statsd": f"{_M} select event_type as metric, sum(case when seq % 5 = 0 then -1 else 1 end)::bigint as total, count(*) as timings, floor(sum(floor(value * 1000)::bigint)::double / count(*))::bigint as mean_ns, count(distinct user_id) as members from m group by event_type",
         "varz_json": f"{_M} select to_json({{'contract': contract, 'seq': max(seq), 'puts': count(*)}})::varchar as json from m group by contract",
@@ -297,9 +394,9 @@ def oracle_sql() -> dict:
         "counters": f"{_M} select event_type as metric, sum(case when seq % 5 = 0 then -1 else 1 end)::bigint as count from m group by event_type",
         "gauges": f"{_M} select topic as metric, arg_max(value, seq) as value from m group by topic",
         "varz": f"{_M} select max(seq) as seq, count(*) as puts, count(case when expires_at is null or expires_at > {_NOW} then 1 end) as live, sum(octet_length(payload::blob))::bigint as in_bytes, count(distinct (contract, topic)) as topics from m",
-        "uptime": f"{_M}, u as (select seq, seq * 37 as s from m) select seq, case when s >= 86400 then (s // 86400) || 'd' || (s // 3600 % 24) || 'h' || (s // 60 % 60) || 'm' || (s % 60) || 's' when s >= 3600 then (s // 3600) || 'h' || (s // 60 % 60) || 'm' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm' || (s % 60) || 's' else s || 's' end as uptime from u",
+        "uptime": f"{_M}, u as (select seq, seq * 37 as s from m) select seq, case when s >= 31536000 then (s // 31536000) || 'y' || (s // 86400 % 365) || 'd' || (s // 3600 % 24) || 'h' || (s // 60 % 60) || 'm' || (s % 60) || 's' when s >= 86400 then (s // 86400) || 'd' || (s // 3600 % 24) || 'h' || (s // 60 % 60) || 'm' || (s % 60) || 's' when s >= 3600 then (s // 3600) || 'h' || (s // 60 % 60) || 'm' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm' || (s % 60) || 's' else s || 's' end as uptime from u",
         "flow_state": f"{_M}, c as (select user_id as session_id, seq % 7 as message_id, arg_max(['NOTIFY', 'RECEIVE', 'PUBLISH', 'RECEIPT', 'COMPLETE'][seq % 5 + 1], seq) as control from m group by all) select * from c where control <> 'COMPLETE'",
-        "key_access_mask": f"{_M}, k as (select seq, [1, 2, 3, 7, 8, 0][seq % 6 + 1] as mask from m) select * from k where mask & 2 = 2",
+        "key_access_mask": f"{_M}, k as (select seq, [8, 16, 24, 28, 2, 0][seq % 6 + 1] as mask from m) select * from k where mask & 16 = 16",
         "dedup_seq": f"{_M} select contract, seq, payload from m",
         "session_refcount": f"{_M} select user_id as conn_id, event_type as pattern, sum(case when seq % 3 = 0 then -1 else 1 end)::bigint as refs from m group by all having refs > 0",
         "connected_deliveries": f"{_M}{_P} select conn_id::bigint as conn_id, count(*) as messages from f where conn_id in (100, 102) group by all",
