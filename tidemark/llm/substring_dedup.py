@@ -18,7 +18,8 @@ document with a smaller doc_id.
 Traffic: the text once (the same exchange is reused for all steps), about 2 bytes an anchor and row of the sketch, and 24
 bytes for each distinct window of a chunk that is estimated repeated. A passage that millions of documents share costs one
 record a chunk and not one a document, so no task gets more than its share of it. There is one message for each chunk and
-shard: with the defaults 50 anchors or more a message up to about 1 TB of text; beyond, raise ``shard_windows``.
+shard: with the defaults 50 anchors or more a message up to about 0.15 TB of text (estimated); beyond, raise
+``shard_windows``.
 """
 
 from __future__ import annotations
