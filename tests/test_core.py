@@ -1,3 +1,4 @@
+import base64
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import BadRequest, Closed, Immutable, InvalidTtl, Locked, PayloadEmpty, TopicEmpty
 from tidemark.functions.durations import parse_duration
-from tidemark.operators import kv, metrics, pubsub, reads
+from tidemark.functions.topics import DIGITS, base32, unbase32
+from tidemark.operators import cluster, kv, metrics, pubsub, reads
 from tidemark.operators.match import match, match_by_regex
 from tidemark.plans import queries as catalogue
 from tidemark.sources.store import Entry, Options, Store, entries, opened, parsed, sealed, sync_totals
@@ -292,6 +294,61 @@ def test_stream_restart_windows_and_packets(spark, tmp_path):
     assert ingest.decoded(ingest.encoded(ingest.decoded(lines).limit(1))).first() == got[0]
 
 
+def test_base32(spark):
+    raws = [b"", b"\0", b"\xff", b"12345", bytes(range(200, 240)), b"\0" * 8]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(raws)] + [(len(raws), None)], "i int, raw binary").select("i", base32(F.col("raw")).alias("t"), unbase32(base32(F.col("raw"))).alias("back")).orderBy("i").collect()
+    standard = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", DIGITS.encode())
+    for raw, row in zip(raws, got, strict=False):
+        assert row.t == base64.b32encode(raw).rstrip(b"=").translate(standard).decode() and bytes(row.back) == raw
+    assert got[-1].t is None and got[-1].back is None
+    bad = spark.createDataFrame([("!!",), ("A",), ("AAA",)], "t string").select(unbase32(F.col("t")).alias("b")).collect()
+    assert [r.b for r in bad] == [None, None, None]
+
+
+def test_ring(spark):
+    assert [cluster.fnv(x) for x in (b"", b"a", b"foobar")] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+    nodes = ["n1", "n2", "n3"]
+    rows = spark.range(300).select(F.col("id").alias("contract")).unionByName(spark.createDataFrame([(None,)], "contract long"))
+
+    def direct(contract, names):
+        h, ring = cluster.fnv(str(contract).encode()), cluster.places(names)
+        return next((n for x, n in ring if (x, n) >= (h, str(contract))), ring[0][1])
+
+    got = {r.contract: r for r in cluster.routed(rows, nodes, "n2").collect()}
+    for c in range(300):
+        assert got[c].node == direct(c, nodes) and got[c].remote == (got[c].node != "n2")
+    assert got[None].node is None
+    fewer = {r.contract: r.node for r in cluster.routed(rows, nodes[:2]).collect()}
+    assert all(fewer[c] == got[c].node for c in range(300) if got[c].node != "n3")  # only contracts of the node that left move
+    assert not any(r.remote for r in cluster.routed(rows, nodes).collect())
+    assert {r.node for r in cluster.routed(rows, []).collect()} == {None}
+    assert spark.createDataFrame([("",), ("h\u00e9",)], "t string").select(cluster.fnv_of(F.col("t")).alias("h")).collect() == [(cluster.fnv(b""),), (cluster.fnv("h\u00e9".encode()),)]
+
+
+def test_bloom(spark):
+    keys = spark.range(0, 20_000, 2).select(F.col("id").alias("seq"))
+    held = reads.bloom(keys, "seq")
+    let = {r.seq for r in spark.range(40_000).select(F.col("id").alias("seq")).where(reads.might_hold(F.col("seq"), held)).collect()}
+    assert set(range(0, 20_000, 2)) <= let  # none lost
+    assert len(let) - 10_000 < 600  # 30,000 others, about one in a hundred let through
+    assert not spark.range(100).where(reads.might_hold(F.col("id"), reads.bloom(keys.limit(0), "seq"))).count()
+
+
+def test_replies_and_connects(spark):
+    keys = spark.createDataFrame([(1, "s", "a.b", 16), (1, "s", "a.b", 24), (1, "w", "...", 16), (1, "r", "a.b", 8)], "contract long, key string, target string, mask int")
+    asks = spark.createDataFrame([(1, "s", "a.b", "x"), (1, "s", "a.c", "x"), (1, "w", "a.b", "x"), (1, "r", "a.b", "x"), (2, "s", "a.b", "x"), (1, "s", "a.b", None), (1, None, "a.b", "x")], "contract long, key string, topic string, payload string")
+    got = sorted((r.contract, str(r.key), r.topic, str(r.payload), r.reply) for r in pubsub.acknowledged(asks, keys, F.col("payload").isNotNull()).collect())
+    assert len(got) == 7 and [x for x in got if x[4] == "ACKNOWLEDGE"] == [(1, "s", "a.b", "x", "ACKNOWLEDGE")] and sum(x[4] == "BAD_REQUEST" for x in got) == 1
+    log = spark.createDataFrame([(1, "PUBLISH"), (2, "PUBLISH"), (2, "RECEIPT"), (3, "PUBLISH")], "session_id long, kind string")
+    connects = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False)], "session_id long, ord long, clean boolean")
+    assert sorted((r.session_id, r.kind, r.notify) for r in pubsub.connected(log, connects).collect()) == [(2, "PUBLISH", True), (2, "RECEIPT", False), (3, "PUBLISH", False)]
+
+
+def test_db_varz_of_nothing(spark):
+    row = metrics.db_varz(spark.createDataFrame([], "op string, seq long, bytes long, duration_ns long")).first()
+    assert row.seq is None and row["count"] == 0 and row.puts == 0 and row.in_bytes == 0 and row.hmean is None
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no bundled tables")
 def test_queries_equal_sql(spark):
     d, con = "/root/testdata/sf0.001", duckdb.connect()

@@ -29,6 +29,11 @@ def option(raw: Column, name: str) -> Column:
     return F.get(F.filter(options_of(raw), lambda o: o["key"] == name), F.lit(0))["value"]
 
 
+def option_number(raw: Column, name: str) -> Column:
+    """The first value of an option as a whole number, or null where it is none."""
+    return option(raw, name).try_cast("long")
+
+
 def levels_of(topic: Column) -> Column:
     """The levels; empty ones are left out, so ``a..b`` is ``a.b``. A trailing ``...`` is no level."""
     return F.filter(F.split(topic, "\\."), lambda x: x != "")
@@ -91,3 +96,27 @@ def message_id(contract: Column, seq: Column, seconds: Column) -> Column:
 def message_id_parts(raw: Column) -> Column:
     """struct<contract, seq, seconds> of a message id."""
     return F.struct(_number(raw, 4, 4).alias("contract"), _number(raw, 8, 8).alias("seq"), (F.lit(0xFFFFFFFF) - _number(raw, 0, 4) + EPOCH).alias("seconds"))
+
+
+#: The digits of base32 texts: fixed values.
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"
+
+
+def base32(raw: Column) -> Column:
+    """Five bits a digit, highest first, the last ones filled up with zero bits; no padding."""
+    octets = F.hex(raw)
+    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(octets), F.lit(2)), lambda i: F.lpad(F.conv(F.substring(octets, i, F.lit(2)), 16, 2), 8, "0")), "")
+    full = F.rpad(bits, (F.ceil(F.length(bits) / 5) * 5).cast("int"), F.lit("0"))
+    digits = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(5)), lambda i: F.substring(F.lit(DIGITS), F.conv(F.substring(full, i, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
+    return F.when(F.length(raw) > 0, F.array_join(digits, "")).when(F.length(raw) == 0, "")
+
+
+def unbase32(text: Column) -> Column:
+    """The bytes that base32 read; null where a character is no digit or the length is none that base32 gives."""
+    places = F.transform(F.split(text, ""), lambda c: F.when(c != "", F.position(c, F.lit(DIGITS)) - 1))
+    places = F.filter(places, lambda p: p.isNotNull())
+    bits = F.array_join(F.transform(places, lambda p: F.lpad(F.conv(p.cast("string"), 10, 2), 5, "0")), "")
+    size = F.floor(F.length(text) * 5 / 8).cast("int")
+    octets = F.transform(F.sequence(F.lit(1), size * 8, F.lit(8)), lambda i: F.lpad(F.conv(F.substring(bits, i, F.lit(8)), 2, 16), 2, "0"))
+    good = ~F.exists(places, lambda p: p < 0) & (F.length(text) == F.ceil(size * 8 / 5))
+    return F.when(F.length(text) == 0, F.lit(b"")).when(good & (size > 0), F.unhex(F.array_join(octets, "")))

@@ -87,6 +87,23 @@ def statistics(samples: DataFrame) -> DataFrame:
     )
 
 
+#: What a store counts, by operation.
+OPERATIONS = {"gets": "get", "puts": "put", "leases": "lease", "syncs": "sync", "recovers": "recover", "aborts": "abort", "dels": "del"}
+
+
+def db_varz(operations: DataFrame) -> DataFrame:
+    """One row for a store's operations (op, seq, bytes, duration_ns): the highest seq put, live messages (puts less deletes),
+    each kind of operation, messages and bytes in (put) and out (got), and the statistics of the durations."""
+    of = lambda op: F.count_if(F.col("op") == op)
+    size = lambda op: F.coalesce(F.sum(F.when(F.col("op") == op, F.col("bytes"))), F.lit(0))
+    counts = operations.agg(
+        F.max(F.when(F.col("op") == "put", F.col("seq"))).alias("seq"), (of("put") - of("del")).alias("count"), *(of(op).alias(name) for name, op in OPERATIONS.items()),
+        of("put").alias("in_msgs"), of("get").alias("out_msgs"), size("put").alias("in_bytes"), size("get").alias("out_bytes"),
+    )
+    spans = statistics(operations.select(F.lit("db").alias("metric"), "duration_ns")).select("hmean", "p50", "p75", "p95", "p99", "p999", "long5p", "short5p", "max", "min", "stddev")
+    return counts.join(spans, F.lit(True), "left")  # one row each
+
+
 def uptime(seconds: Column) -> Column:
     """1y2d3h4m5s; parts before the first that is not 0 are left out."""
     y, d, h, m, s = F.floor(seconds / 31_536_000), F.floor(seconds / 86400) % 365, F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.topics import access_mask, is_wildcard, levels_of, normal
+from ..functions.topics import WRITE, access_mask, is_wildcard, levels_of, normal
 from .match import match
 
 
@@ -67,6 +67,15 @@ def authorised(requests: DataFrame, keys: DataFrame, flag: int, publish: bool =
     return found.where(~F.col("wildcard")) if publish else found
 
 
+def acknowledged(requests: DataFrame, keys: DataFrame, well_formed: Column) -> DataFrame:
+    """requests to publish (contract, key, topic) with the answer in ``reply``: BAD_REQUEST where ``well_formed`` is not true,
+    FORBIDDEN where no static key of the contract may write to the topic, else ACKNOWLEDGE. One row a request."""
+    held = keys.where((F.col("mask").bitwiseAND(WRITE) == WRITE) & ~is_wildcard(F.col("target")))
+    held = held.select("contract", "key", F.col("target").alias("topic")).distinct().withColumn("_held", F.lit(True))
+    reply = F.when(~F.coalesce(well_formed, F.lit(False)), "BAD_REQUEST").when(F.col("_held").isNull(), "FORBIDDEN").otherwise("ACKNOWLEDGE")
+    return requests.join(held, ["contract", "key", "topic"], "left").withColumn("reply", reply).drop("_held")
+
+
 def log_key(session_id: Column, message_id: Column) -> Column:
     """The message's number in the upper half, the session's in the lower."""
     return F.shiftleft(message_id.cast("long"), 32) + session_id.cast("long")
@@ -96,6 +105,14 @@ def reset(log: DataFrame, sessions: DataFrame) -> DataFrame:
     return log.join(sessions.select("session_id"), of_session(log["key"], sessions["session_id"]), "left_anti")
 
 
+def connected(log: DataFrame, connects: DataFrame) -> DataFrame:
+    """The log after sessions connect (session_id, ord, clean): what a session kept goes if its last connect is clean; notify
+    tells what a session that resumes is notified of again."""
+    last = connects.groupBy("session_id").agg(F.max_by("clean", "ord").alias("_clean"))
+    rows = log.join(last, "session_id", "left").where("_clean is null or not _clean")
+    return rows.withColumn("notify", F.col("_clean").isNotNull() & (F.col("kind") == "PUBLISH")).drop("_clean")
+
+
 def server_varz(connections: DataFrame, subscriptions: DataFrame, messages: DataFrame, deliveries: DataFrame) -> DataFrame:
     """One row: connections, subscriptions, in_msgs, in_bytes, out_msgs and out_bytes."""
 

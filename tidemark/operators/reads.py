@@ -120,6 +120,32 @@ def by_seq(messages: DataFrame, wanted: DataFrame) -> DataFrame:
     return messages.join(wanted.select("contract", "seq").distinct(), ["contract", "seq"], "left_semi")
 
 
+def _bits(key: Column, bits: int, hashes: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(hashes)))
+
+
+def bloom(keys: DataFrame, column: str, bits: int = 160_000, hashes: int = 7) -> bytes:
+    """A Bloom filter of a column; its size is ``bits``, however many keys there are."""
+    at = keys.select(F.explode(_bits(F.col(column), bits, hashes)).alias("at"))
+    parts = at.groupBy(F.floor(F.col("at") / 32_768).alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(32_768))).alias("map")).collect()  # bits / 32,768 rows of 4 KB
+    out = bytearray(-(-bits // 32_768) * 4096)
+    for r in parts:
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["map"]
+    return bytes(out)
+
+
+def might_hold(key: Column, held: bytes, bits: int = 160_000, hashes: int = 7) -> Column:
+    """False only for keys that the filter never saw."""
+    octet = lambda at: F.conv(F.hex(F.substring(F.lit(held), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.forall(_bits(key, bits, hashes), lambda at: F.getbit(octet(at), (at % 8).cast("int")) == 1)
+
+
+def filtered_by_seq(messages: DataFrame, wanted: DataFrame, bits: int = 160_000, hashes: int = 7) -> DataFrame:
+    """by_seq behind a Bloom filter, which keeps most other rows from being shuffled; ``bits`` is about ten times the number
+    of wanted rows for one row in a hundred let through in vain. The result does not depend on it."""
+    return by_seq(messages.where(might_hold(F.col("seq"), bloom(wanted, "seq", bits, hashes), bits, hashes)), wanted)
+
+
 def ranges(messages: DataFrame) -> DataFrame:
     """contract, first_seq and last_seq of each run of consecutive numbers.
 

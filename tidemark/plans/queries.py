@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.topics import READ, WRITE, access_mask, depth_of, is_multi, is_wildcard, key_and_topic, levels_of, message_id, message_id_parts, normal, option, topic_of
-from ..operators import kv, metrics, pubsub, reads
+from ..functions.topics import DIGITS, READ, WRITE, access_mask, base32, depth_of, is_multi, is_wildcard, key_and_topic, levels_of, message_id, message_id_parts, normal, option, option_number, topic_of, unbase32
+from ..operators import cluster, kv, metrics, pubsub, reads
 from ..operators.match import match
 from ..sources import store
 from ..sources.store import conversations_as_log, events_as_messages
@@ -301,7 +301,51 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.tumbling(events_as_messages(spark, d), "1 hour")
 
 
+NODES = ["north", "east", "south"]
+
+
+def contract_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Which node owns each number taken as a contract."""
+    return cluster.routed(events_as_messages(spark, d).select(F.col("seq").alias("contract")), NODES, "east").select("contract", "node", "remote")
+
+
+def option_numbers(spark: SparkSession, d: str) -> DataFrame:
+    last = F.when(F.col("seq") % 3 == 0, F.lit("2h")).otherwise(F.col("seq").cast("string"))
+    raw = F.concat("topic", F.lit("?last="), last, F.lit("&last=7"))
+    return events_as_messages(spark, d).select("seq", option_number(raw, "last").alias("last_number"), option_number(raw, "ttl").alias("ttl_number"))
+
+
+def base32_ids(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.unhex(F.lpad(F.hex(F.col("seq") * 2654435761), 16, "0"))
+    return events_as_messages(spark, d).select("seq", base32(raw).alias("id"), F.conv(F.hex(unbase32(base32(raw))), 16, 10).cast("long").alias("again"))
+
+
+def publish_replies(spark: SparkSession, d: str) -> DataFrame:
+    """What publishers hear: some rows have no payload, one key is static and one a wildcard."""
+    keys = spark.createDataFrame([(0, "k0", "...", READ + WRITE), (1, "k1", "app.u1.click", WRITE), (1, "k1", "app.u5.view", READ)], "contract long, key string, target string, mask int")
+    e = events_as_messages(spark, d).withColumn("payload", F.when(F.col("seq") % 11 > 0, F.col("payload")))
+    requests = e.select("contract", F.concat(F.lit("k"), F.col("contract").cast("string")).alias("key"), "topic", "seq", "payload")
+    return pubsub.acknowledged(requests, keys, store.valid(requests)).select("contract", "seq", "reply")
+
+
+def connect_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions 1 and 2 connect twice: the last connect of 1 is clean, that of 2 is not."""
+    connects = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, True), (2, 2, False)], "session_id long, ord long, clean boolean")
+    return pubsub.connected(pubsub.session_log(_packets(spark, d)), connects).select("key", "kind", "notify")
+
+
+def db_varz(spark: SparkSession, d: str) -> DataFrame:
+    op = F.element_at(F.array(*map(F.lit, ("put", "put", "get", "put", "del", "sync", "put", "lease", "abort", "recover"))), (F.col("seq") % 10 + 1).cast("int"))
+    return metrics.db_varz(events_as_messages(spark, d).select(op.alias("op"), "seq", F.octet_length("payload").cast("long").alias("bytes"), F.floor(F.col("value") * 1000).alias("duration_ns")))
+
+
+def bloom_lookup(spark: SparkSession, d: str) -> DataFrame:
+    e = events_as_messages(spark, d)
+    return reads.filtered_by_seq(e, e.where("seq % 97 = 1").select("contract", "seq")).select("contract", "seq", "topic")
+
+
 _ALL = (
+    contract_nodes, option_numbers, base32_ids, publish_replies, connect_sessions, db_varz, bloom_lookup,
     get_wildcard, kv_ordered, kv_varz, stddev_large, session_log, session_resume, session_reset, server_varz, keygen, publish_allowed, message_id_codec, seq_ranges, seq_lookup, event_windows,
     get_last_topk, get_contract, parse_topics, live_at_now, not_deleted, match_patterns, topic_latest_k, topic_dictionary, relay, fanout, delivery_plan, batch_windows, kv_latest, kv_lookup, kv_keys,
     kv_size, kv_delete_replay, sample_stats, bounded_sample, counters, gauges, varz, uptime, flow_state, key_access_mask, dedup_seq, session_refcount, connected_deliveries, second_buckets,
@@ -344,7 +388,17 @@ def oracle_sql() -> dict:
     rank = "row_number() over (partition by {} order by seq desc)::int"
     pk = f"{_M}, k as (select user_id as session_id, seq % 11 as message_id, ['PUBLISH', 'NOTIFY', 'RECEIPT', 'COMPLETE', 'PUBLISH'][seq % 5 + 1] as kind, seq from m where seq % 5 in (0, 2, 3)), l as (select session_id, message_id, arg_max(kind, seq) as kind from k group by all having arg_max(kind, seq) <> 'COMPLETE'), s as (select message_id * 4294967296 + session_id as key, * from l)"
     mid = "lower(concat(b[7:8], b[5:6], b[3:4], b[1:2], c[7:8], c[5:6], c[3:4], c[1:2], q[15:16], q[13:14], q[11:12], q[9:10], q[7:8], q[5:6], q[3:4], q[1:2]))"
+    fnv = lambda s: f"list_reduce(list_prepend(2166136261::ubigint, list_transform(range(length({s})), lambda i: ascii(substr({s}, i + 1, 1))::ubigint)), lambda h, b: xor(h, b) * 16777619 % 4294967296)"
+    ops = "['put', 'put', 'get', 'put', 'del', 'sync', 'put', 'lease', 'abort', 'recover'][seq % 10 + 1]"
+    n = lambda op: f"count_if(op = '{op}')::bigint"
     return {
+        "contract_nodes": f"{_M}, n(node) as (values {', '.join(f"('{x}')" for x in NODES)}), r as (select node, {fnv('k')} as h from (select node, i || node as k from n, range(20) t(i))), c as (select distinct seq as contract, seq::varchar as k from m), g as (select contract, k, {fnv('k')} as h from c), f as (select contract, arg_min(r.node, (r.h, r.node)) as node from g join r on r.h > g.h or (r.h = g.h and r.node >= k) group by contract), o as (select contract, coalesce(f.node, (select arg_min(node, (h, node)) from r)) as node from g left join f using (contract)) select contract, node, node <> 'east' as remote from o",
+        "option_numbers": f"{_M} select seq, case when seq % 3 <> 0 then seq end as last_number, null::bigint as ttl_number from m",
+        "base32_ids": f"{_M}, x as (select seq, seq * 2654435761 as v from m) select seq, array_to_string(list_transform(range(12), lambda i: substr('{DIGITS}', ((v >> (59 - 5 * i)) & 31)::int + 1, 1)), '') || substr('{DIGITS}', ((v & 15) * 2)::int + 1, 1) as id, v as again from x",
+        "publish_replies": f"{_M} select contract, seq, case when seq % 11 = 0 then 'BAD_REQUEST' when contract = 1 and topic = 'app.u1.click' then 'ACKNOWLEDGE' else 'FORBIDDEN' end as reply from m",
+        "connect_sessions": f"{pk} select key, kind, session_id = 2 and kind = 'PUBLISH' as notify from s where session_id <> 1",
+        "db_varz": _stats(f"{_M}, o as (select {ops} as op, seq, octet_length(payload::blob) as bytes, floor(value * 1000)::bigint as x from m), q as (select 'db' as metric, x from o)") + f", c as (select max(case when op = 'put' then seq end) as seq, {n('put')} - {n('del')} as count, {', '.join(f'{n(op)} as {name}' for name, op in metrics.OPERATIONS.items())}, {n('put')} as in_msgs, {n('get')} as out_msgs, coalesce(sum(case when op = 'put' then bytes end), 0)::bigint as in_bytes, coalesce(sum(case when op = 'get' then bytes end), 0)::bigint as out_bytes from o) select c.*, hmean, p50, p75, p95, p99, p999, case when ln <= 1 then max else floor(ls::double / ln)::bigint end as long5p, case when sn <= 1 then min else floor(ss::double / sn)::bigint end as short5p, max, min, stddev from c, a join d using (metric)",
+        "bloom_lookup": f"{_M} select contract, seq, topic from m where seq % 97 = 1",
         "get_wildcard": f"{_M}, w as (select *, case seq % 20 when 0 then '...' when 5 then 'app...' when 10 then 'app.*.click' when 15 then '*.u2.*' else topic end as t from m) select seq, t as topic from w where contract = 2 and (seq % 20 in (0, 5, 10, 15) or t = 'app.u2.click') and (expires_at is null or expires_at > {_NOW}) order by seq desc limit 200",
         "kv_ordered": f"{_M}, l as (select seq // 100 as time_id, user_id as key, arg_max(payload, seq) as value, arg_max(seq % 7 = 0, seq) as gone from m group by all) select key, max(time_id) as time_id, arg_max(value, time_id) as value from l where not gone group by key",
         "kv_varz": "with n as (select distinct conv_id as k, max(turn) over (partition by conv_id) as t from conversations where conv_id % 3 = 0), p as (select distinct turn, conv_id from conversations) select (select count(*) from p) - (select count(*) from n) as count, (select count(*) from conversations) as puts, (select count(*) from n) as dels, (select count(distinct turn) from conversations) as blocks",
