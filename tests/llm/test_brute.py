@@ -327,3 +327,17 @@ def test_quotations_odd_rows(spark):
 def test_held_out_by_crc(spark):
     got = corpus(spark, odd(spark)).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_first_of_each_language(spark):
+    rows = spark.range(9000).selectExpr("id", "case when id % 3 > 0 then 'a' when id % 90 = 0 then 'b' else 'c' end as l")
+    rows = rows.unionByName(rows.where("id < 40"))  # repeated rows
+    want: dict[str, list] = {}
+    for r in rows.withColumn("h", F.xxhash64("id")).collect():
+        want.setdefault(r.l, []).append((r.h, r.id))
+    for k in (1, 50, 101, 5000):
+        got: dict[str, list] = {}
+        for r in language_id.first_of_each(rows, k).collect():
+            got.setdefault(r.l, []).append(r.id)
+        assert {x: sorted(y) for x, y in got.items()} == {x: sorted(i for _, i in sorted(y)[:k]) for x, y in want.items()}
+    assert language_id.first_of_each(rows.limit(0), 5).count() == 0

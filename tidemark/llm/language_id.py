@@ -83,12 +83,26 @@ def trigrams(text: str) -> np.ndarray:
     return ((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(48)).astype(np.int64)
 
 
+def first_of_each(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows (id, l) of each l with the smallest hashes of id, equal ones by id.
+
+    Rows are counted by the leading 16 bits of the hash first, so a task that ranks gets about k + n / 65,536 rows of an l with
+    n rows; one row for each l is broadcast, and the models hold 65,536 numbers for each of them anyway.
+    """
+    rows = rows.withColumn("part", F.shiftright(F.xxhash64("id"), 48))
+    counts = rows.groupBy("l", "part").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("l").orderBy("part")))
+    ends = upto.groupBy("l").agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("part"))), F.max("part")).alias("end"))
+    near = rows.join(F.broadcast(ends), "l").where("part <= end")
+    rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("id"), "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "l")
+
+
 def fit_text(docs: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities of trigram buckets (languages x BUCKETS), from whole texts of at most ``max_docs`` labelled rows of each language."""
     spark = docs.sparkSession
-    labelled = docs.where("doc_id is not null and lang is not null and text is not null")
-    rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("id"), "id"))
-    ids = labelled.select(F.col("doc_id").cast("long").alias("id"), F.lower("lang").alias("l")).withColumn("rank", rank).where(F.col("rank") <= max_docs).drop("rank").toArrow()
+    labelled = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.lower("lang").alias("l"))
+    ids = first_of_each(labelled, max_docs).toArrow()
     if not ids.num_rows:
         return [], np.zeros((0, BUCKETS))
     sample = spark.createDataFrame(ids).distinct()
