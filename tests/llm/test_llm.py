@@ -56,12 +56,12 @@ def brute_cut(texts, width):
     return out
 
 
-@pytest.mark.parametrize("width", [5, 50])
-def test_substring_dedup(spark, width):
+@pytest.mark.parametrize(("width", "fan"), [(5, 256), (50, 256), (5, 4), (50, 4)])
+def test_substring_dedup(spark, width, fan):
     rng = random.Random(2)
     shared = words(rng, 80)
     texts = odd(spark) + [(100 + i, " ".join(words(rng, 30) + (shared if i % 3 else []) + words(rng, 40))) for i in range(40)]
-    got = substring_dedup.remove_repeats(corpus(spark, texts), width, chunk_chars=3000, shard_windows=500)
+    got = substring_dedup.remove_repeats(corpus(spark, texts), width, chunk_chars=3000, shard_windows=500 if fan > 4 else 50, fan=fan)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == brute_cut(texts, width)
     assert substring_dedup.remove_repeats(corpus(spark, texts).limit(0)).count() == 0
 

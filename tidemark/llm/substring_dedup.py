@@ -17,9 +17,10 @@ document with a smaller doc_id.
 
 Traffic: the text once (the same exchange is reused for all steps), about 2 bytes an anchor and row of the sketch, and 24
 bytes for each distinct window of a chunk that is estimated repeated. A passage that millions of documents share costs one
-record a chunk and not one a document, so no task gets more than its share of it. There is one message for each chunk and
-shard: with the defaults 50 anchors or more a message up to about 0.15 TB of text (estimated); beyond, raise
-``shard_windows``.
+record a chunk and not one a document, so no task gets more than its share of it. Chunks and shards both grow with the text;
+so that their messages do not grow with the product, beyond ``fan`` shards they go through batches of chunks: a chunk sends
+one message for each range of shards, a batch merges those of its chunks and sends one for each shard, and the answers take
+the same way back. The result is the same.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def leftmost_minima(values: np.ndarray, span: int) -> np.ndarray:
 class _Plan:
     """Numbers that all steps share."""
 
-    def __init__(self, width: int, words: int, depth: int, shard_windows: int):
+    def __init__(self, width: int, words: int, depth: int, shard_windows: int, fan: int):
         self.width, self.depth = width, depth
         self.anchor = max(1, width // 2)
         self.span = width - self.anchor + 1  # anchors that a window chooses from
@@ -72,6 +73,10 @@ class _Plan:
         self.bits = max(16, anchors.bit_length() + 3)
         self.shard_bits = max(4, (anchors // shard_windows).bit_length())
         self.low = np.uint64(self.bits - self.shard_bits)  # bits of a counter's number within its shard
+        self.sent_bits = self.shard_bits if self.shard_bits <= fan.bit_length() - 1 else -(-self.shard_bits // 2)
+        self.sent_low = np.uint64(self.bits - self.sent_bits)  # and within the range that a chunk sends as one message
+        self.inner_bits = self.shard_bits - self.sent_bits  # shards of a range; 0: each range is one
+        self.batch_bits = self.inner_bits + 2  # chunks of a batch, so that its messages are no shorter than theirs
 
 
 class _Chunk:
@@ -103,7 +108,7 @@ class _Chunk:
             self.rows.append((cells, which, number))
 
     def sketches(self) -> Iterator[tuple[int, int, bytes]]:
-        low = self.plan.low
+        low = self.plan.sent_low
         for r, (cells, which, _) in enumerate(self.rows):
             more = np.bincount(which, minlength=len(cells)) > 1
             shard = cells >> low
@@ -116,7 +121,7 @@ class _Chunk:
         """The windows that are estimated repeated. answers: bits by row and shard."""
         found = np.ones(len(self.at), bool)
         for r, (cells, which, number) in enumerate(self.rows):
-            shard = cells >> self.plan.low
+            shard = cells >> self.plan.sent_low
             cuts = np.flatnonzero(np.diff(shard)) + 1
             bits = [np.unpackbits(np.frombuffer(answers[r, int(shard[a])], np.uint8), count=b - a) for a, b in zip([0, *cuts], [*cuts, len(cells)], strict=True) if a < b]
             if bits:
@@ -135,7 +140,7 @@ class _Chunk:
         return order, order[new], np.cumsum(new) - 1
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars: int = 4_000_000, shard_windows: int = 2_000_000, keep_layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars: int = 4_000_000, shard_windows: int = 2_000_000, fan: int = 256, keep_layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) without passages that start in earlier documents.
 
     Returns doc_id, n_words, n_removed, kept_text and removed (pairs of first word and end of each removed run, counted
@@ -149,7 +154,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     base = in_chunks(docs, ["doc_id", "text", *carry], chunk_chars)
     words = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", " \t\n\r\x0b\x0c", "")) + 1)).first()[0] or 0
-    plan = _Plan(width, words, depth, shard_windows)
+    plan = _Plan(width, words, depth, shard_windows, fan)
 
     def tools():
         return WordHashes(), Rolling(FIRST), Rolling(SECOND)
@@ -175,6 +180,61 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
             total[cells] = np.minimum(total[cells] + 1 + more, 2)
         return out([(c, key[0].as_py(), key[1].as_py(), np.packbits(total[cells] > 1).tobytes()) for c, (cells, _) in zip(table.column("chunk").to_pylist(), parts, strict=True)])
 
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        """The messages of a batch's chunks for one range of shards -> one message for each of its shards."""
+        kind, part, batch = (x.as_py() for x in key)
+        if kind < 0:
+            h1, h2, ids = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in table.column("body").to_pylist()], axis=1)
+            order, new = _sorted_windows(h1, h2, ids.view(np.int64))
+            first = order[new]
+            return out([(batch, kind, s, h1[first[a:b]].tobytes() + h2[first[a:b]].tobytes() + ids[first[a:b]].tobytes()) for s, a, b in _runs(h1[first] >> np.uint64(64 - plan.shard_bits))])
+        parts = [unpacked(x) for x in table.column("body").to_pylist()]
+        cells, more = np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        new = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
+        cells, more = cells[new], np.add.reduceat(1 + more[order].astype(np.int64), new) > 1
+        within = (np.uint64(1) << plan.low) - np.uint64(1)
+        return out([(batch, kind, part << plan.inner_bits | s, packed(cells[a:b] & within, more[a:b])) for s, a, b in _runs(cells >> plan.low)])
+
+    def scatter(key: tuple, sent: pa.Table, told: pa.Table) -> pa.Table:
+        """What a batch's chunks sent for one range of shards and the answers to the batch -> the answer to each chunk."""
+        kind, part, _ = (x.as_py() for x in key)
+        bits = dict(zip(told.column("inner").to_pylist(), told.column("body").to_pylist(), strict=True))
+
+        def joined(shard: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a) for s, a, b in _runs(shard)]).astype(bool)
+
+        rows, bodies = [], sent.column("body").to_pylist()
+        if kind < 0:
+            parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in bodies]
+            h1, h2, ids = np.concatenate(parts, axis=1)
+            ids = ids.view(np.int64)
+            order, new = _sorted_windows(h1, h2, ids)
+            number, first = np.cumsum(new) - 1, order[new]
+            later = np.empty(len(order), bool)
+            later[order] = (ids[order] > ids[first][number]) | joined(h1[first] >> np.uint64(64 - plan.shard_bits))[number]
+            ends = np.cumsum([x.shape[1] for x in parts])
+            replies = np.split(later, ends[:-1])
+        else:
+            parts = [unpacked(x)[0] for x in bodies]
+            cells = np.unique(np.concatenate(parts))
+            twice = joined(cells >> plan.low)
+            replies = [twice[np.searchsorted(cells, x)] for x in parts]
+        for c, x in zip(sent.column("chunk").to_pylist(), replies, strict=True):
+            rows.append((c, kind, part, np.packbits(x).tobytes()))
+        return out(rows)
+
+    def told_by(merging, sent: DataFrame) -> DataFrame:
+        """The answers of shards to what chunks sent."""
+        if not plan.inner_bits:
+            return sent.groupBy("kind", "shard").applyInArrow(merging, PART)
+        sent = sent.withColumn("batch", F.shiftright("chunk", plan.batch_bits))
+        met = sent.groupBy("kind", "shard", "batch")
+        told = met.applyInArrow(gather, PART).groupBy("kind", "shard").applyInArrow(merging, PART)
+        told = told.select("kind", F.shiftright("shard", plan.inner_bits).alias("shard"), F.col("chunk").alias("batch"), "body", F.when(F.col("kind") < 0, F.col("shard")).otherwise(F.col("shard").bitwiseAND((1 << plan.inner_bits) - 1)).alias("inner"))
+        return met.cogroup(told.groupBy("kind", "shard", "batch")).applyInArrow(scatter, PART)
+
     def answers(table: pa.Table, second: bool = False) -> dict:
         rows = zip(*(table.column(x).to_pylist() for x in ("kind", "shard", "body")), strict=True)
         return {(k, s) if not second else s: b for k, s, b in rows if (k < 0) == second}
@@ -182,7 +242,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
     def exact(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         chunk = chunk_of(table)
         _, first, _ = chunk.grouped(chunk.repeated(answers(told)))
-        shard = chunk.h1[first] >> np.uint64(64 - plan.shard_bits)
+        shard = chunk.h1[first] >> np.uint64(64 - plan.sent_bits)
         rows = []
         for s, a, b in _runs(shard):
             part = first[a:b]
@@ -193,10 +253,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
         parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in table.column("body").to_pylist()]
         h1, h2, ids = np.concatenate(parts, axis=1)
         ids = ids.view(np.int64)
-        order = np.lexsort((ids, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        order, new = _sorted_windows(h1, h2, ids)
         later = np.empty(len(order), bool)
         later[order] = ids[order] > ids[order][new][np.cumsum(new) - 1]
         rows, at = [], 0
@@ -209,7 +266,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
         chunk = chunk_of(table)
         order, first, number = chunk.grouped(chunk.repeated(answers(told)))
         bits = answers(told, second=True)
-        elsewhere = [np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a) for s, a, b in _runs(chunk.h1[first] >> np.uint64(64 - plan.shard_bits))]
+        elsewhere = [np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a) for s, a, b in _runs(chunk.h1[first] >> np.uint64(64 - plan.sent_bits))]
         elsewhere = np.concatenate(elsewhere).astype(bool) if elsewhere else np.empty(0, bool)
         mine, least = chunk.ids[chunk.doc[order]], chunk.ids[chunk.doc[first]][number] if len(order) else np.empty(0, np.int64)
         gone = chunk.at[order[(mine > least) | elsewhere[number]]] if len(order) else np.empty(0, np.int64)
@@ -237,13 +294,22 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
         })
 
     chunks = base.groupBy("chunk")
-    flags = chunks.applyInArrow(count, PART).groupBy("kind", "shard").applyInArrow(merge, PART)
+    flags = told_by(merge, chunks.applyInArrow(count, PART))
     firsts = chunks.cogroup(flags.groupBy("chunk")).applyInArrow(exact, PART)
-    later = firsts.groupBy("kind", "shard").applyInArrow(decide, PART)
+    later = told_by(decide, firsts)
     told = flags.unionByName(later)
     return chunks.cogroup(told.groupBy("chunk")).applyInArrow(cut, ", ".join(["doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
+def _sorted_windows(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows by hash and doc_id, and which of them, in this order, are the first of their hash."""
+    order = np.lexsort((ids, h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
 def _runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
     cuts = np.flatnonzero(np.diff(shard)) + 1
     return [(int(shard[a]), int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(shard)], strict=True) if a < b]
