@@ -183,12 +183,13 @@ def direct_perplexities(texts, trusted):
     return [(i, math.exp(-sum(math.log(p(g)) for g in grams(t)) / len(t)) if t else None) for i, t in texts]
 
 
-def test_kneser_ney_against_direct_counts(spark):
+@pytest.mark.parametrize("fan", [256, 4])
+def test_kneser_ney_against_direct_counts(spark, fan):
     rng = random.Random(31)
     texts = [(i, " ".join(words(rng, rng.randrange(1, 30), 40))) for i in range(40)] + [(50, "zq@#!x9 ünï"), (51, None), (52, ""), (5, "another text of a trusted id"), (7, "twice"), (7, "twice"), (None, "w1 w2 w3"), (60, " ".join(words(rng, 3000, 300)))]
     trusted = set(range(20))
     docs = corpus(spark, texts)
-    got = sorted(((r.doc_id, r.perplexity) for r in quality.perplexities(docs, spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long"), chunk_chars=900, shard_chars=500).collect()), key=str)
+    got = sorted(((r.doc_id, r.perplexity) for r in quality.perplexities(docs, spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long"), chunk_chars=300, shard_chars=500, fan=fan).collect()), key=str)
     want = sorted(direct_perplexities([(i, (t or "").encode()) for i, t in texts], trusted), key=str)
     assert [i for i, _ in got] == [i for i, _ in want]
     assert all(a is b is None or a == pytest.approx(b, rel=1e-4) for (_, a), (_, b) in zip(got, want, strict=True))

@@ -3,8 +3,9 @@
 The model is over bytes, of order ``ORDER``. Chunks of documents count their distinct n-grams and, for trusted documents,
 how often each occurs; shards merge them by n-gram. All counts of lower orders, context totals and discounts follow by
 grouped aggregation, and probabilities by joins on contexts and suffixes from the lowest order up. Shards answer each
-chunk with the log-probabilities of the n-grams it sent, and chunks add them up for each document. No table of n-grams
-is broadcast or collected: everything that grows with the text stays in shards.
+chunk with the log-probabilities of the n-grams it sent, and chunks add them up for each document. Beyond ``fan`` shards
+these messages go through batches of chunks, both ways, so that their number does not grow with chunks times shards. No
+table of n-grams is broadcast or collected: everything that grows with the text stays in shards.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     return grams.select("shard", "key").join(level, "key").select("shard", "key", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_000, shard_chars: int = 16_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_000, shard_chars: int = 16_000_000, fan: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, perplexity (a byte; null for empty texts) and the columns in ``keep`` of every row of ``docs``.
 
     The model is trained on the documents whose doc_id is in ``trusted``. Without any trusted text every byte has
@@ -103,11 +104,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
     base, marks = in_chunks_by_id(docs, columns, trusted.where("doc_id is not null").select("doc_id").distinct(), chunk_chars)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(3, (int(chars) // shard_chars).bit_length())
-    shift = np.uint64(64 - bits)
+    sent_bits = bits if bits <= fan.bit_length() - 1 else -(-bits // 2)  # of the range of shards that a chunk sends as one message
+    inner_bits = bits - sent_bits  # shards of a range; 0: each range is one
+    batch_bits = inner_bits + 2  # chunks of a batch, so that its messages are no shorter than theirs
 
-    def sharded(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    def sharded(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """The order of keys by shard and number, and (shard, begin, end); n-grams that begin alike share a shard."""
-        shard = mixed((keys >> np.uint64(16)) + np.uint64(1)) >> shift
+        shard = mixed((keys >> np.uint64(16)) + np.uint64(1)) >> np.uint64(64 - bits)
         order = np.lexsort((keys, shard))
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         return order, [(int(shard[order[a]]), int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True) if a < b]
@@ -133,16 +136,20 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
             if texts[i]:
                 g, n = np.unique(grams_of(texts[i]), return_counts=True)
                 counts[np.searchsorted(keys, g)] += n
-        order, parts = sharded(keys)
+        return messages(key[0].as_py(), keys, counts, sent_bits)
+
+    def messages(sender: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
+        order, parts = sharded(keys, bits)
         rows = []
         for s, a, b in parts:
             k, n = keys[order[a:b]], counts[order[a:b]]
-            rows.append((key[0].as_py(), s, packed(k, n > 0), n[n > 0].astype("<u4").tobytes()))
+            rows.append((sender, s, packed(k, n > 0), n[n > 0].astype("<u4" if n.max() < 1 << 32 else "<u8").tobytes()))
         chunk, shard, body, times = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "shard": pa.array(shard, pa.int64()), "body": pa.array(body, pa.binary()), "times": pa.array(times, pa.binary())})
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        found = [(k, seen, np.frombuffer(times, "<u4")) for (k, seen), times in ((unpacked(b), t) for b, t in zip(table.column("body").to_pylist(), table.column("times").to_pylist(), strict=True))]
+    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of several messages, sorted, and how often they were seen."""
+        found = [(k, seen, np.frombuffer(times, "<u4" if len(times) == 4 * seen.sum() else "<u8")) for (k, seen), times in ((unpacked(b), t) for b, t in zip(table.column("body").to_pylist(), table.column("times").to_pylist(), strict=True))]
         keys = np.concatenate([k for k, _, _ in found])
         counts = np.zeros(len(keys), np.int64)
         counts[np.concatenate([seen for _, seen, _ in found])] = np.concatenate([times for _, _, times in found])
@@ -150,7 +157,29 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         order = np.argsort(keys, kind="stable")  # all chunks' parts by one sort
         keys = keys[order]
         new = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-        return pa.table({"shard": pa.array(np.full(len(new), key[0].as_py())), "key": pa.array(keys[new].astype(np.int64)), "n": pa.array(np.add.reduceat(counts[order], new) if len(new) else counts)})
+        return keys[new], np.add.reduceat(counts[order], new) if len(new) else counts
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        keys, counts = merged(table)
+        return pa.table({"shard": pa.array(np.full(len(keys), key[0].as_py())), "key": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        """The messages of a batch's chunks for one range of shards -> one message for each of its shards."""
+        return messages(key[1].as_py(), *merged(table), bits)
+
+    def scatter(key: tuple, sent: pa.Table, told: pa.Table) -> pa.Table:
+        """What a batch's chunks sent for one range of shards and the answers to the batch -> the answer to each chunk."""
+        parts = [unpacked(x)[0] for x in sent.column("body").to_pylist()]
+        keys = np.unique(np.concatenate(parts))
+        logp = told_of(keys, dict(zip(told.column("inner").to_pylist(), told.column("logp").to_pylist(), strict=True)), bits)
+        return pa.table({"chunk": sent.column("chunk"), "shard": sent.column("shard"), "logp": pa.array([logp[np.searchsorted(keys, x)].tobytes() for x in parts], pa.binary())})
+
+    def told_of(keys: np.ndarray, bodies: dict, bits: int) -> np.ndarray:
+        logp = np.empty(len(keys), "<f4")
+        order, parts = sharded(keys, bits)
+        for s, a, b in parts:
+            logp[order[a:b]] = np.frombuffer(bodies[s], "<f4")
+        return logp
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         keys, logp = known.column("key").to_numpy().astype(np.uint64), known.column("logp").to_numpy()
@@ -162,11 +191,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
     def add(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         texts = texts_of(opened(table))
         keys = np.sort(distinct(texts))
-        order, parts = sharded(keys)
-        bodies = dict(zip(told.column("shard").to_pylist(), told.column("logp").to_pylist(), strict=True))
-        logp = np.empty(len(keys), np.float64)
-        for s, a, b in parts:
-            logp[order[a:b]] = np.frombuffer(bodies[s], "<f4")
+        logp = told_of(keys, dict(zip(told.column("shard").to_pylist(), told.column("logp").to_pylist(), strict=True)), sent_bits).astype(np.float64)
         index = pd.Index(keys)
         sums, part, size = [], [], 0
         for i, x in enumerate(texts):
@@ -184,10 +209,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_chars: int = 6_000_0
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(n), "perplexity": pa.array(p, mask=n == 0), **{c: table.column(c) for c in keep}})
 
     chunks = squeezed(base).groupBy("chunk")
-    asked = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(ask, "chunk long, shard long, body binary, times binary")
-    asked = durable(asked)
+    message = "chunk long, shard long, body binary, times binary"
+    sent = asked = durable(chunks.cogroup(marks.groupBy("chunk")).applyInArrow(ask, message))
+    if inner_bits:
+        sent = sent.withColumn("batch", F.shiftright("chunk", batch_bits))
+        asked = durable(sent.groupBy("shard", "batch").applyInArrow(gather, message))
     grams = durable(asked.groupBy("shard").applyInArrow(merge, "shard long, key long, n long"))
     told = asked.groupBy("shard").cogroup(log_probabilities(grams).groupBy("shard")).applyInArrow(answer, "chunk long, shard long, logp binary")
+    if inner_bits:
+        told = told.select(F.shiftright("shard", inner_bits).alias("shard"), F.col("chunk").alias("batch"), F.col("shard").alias("inner"), "logp")
+        told = sent.groupBy("shard", "batch").cogroup(told.groupBy("shard", "batch")).applyInArrow(scatter, "chunk long, shard long, logp binary")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return chunks.cogroup(told.groupBy("chunk")).applyInArrow(add, ", ".join([f"doc_id {kinds['doc_id']}", "n_bytes long", "perplexity double", *(f"{c} {kinds[c]}" for c in keep)]))
 
