@@ -82,15 +82,15 @@ class _Plan:
 class _Chunk:
     """The windows of a chunk's documents and the counters they touch."""
 
-    def __init__(self, plan: _Plan, table: pa.Table, hashes: WordHashes, one: Rolling, two: Rolling):
+    def __init__(self, plan: _Plan, table: pa.Table, one: Rolling, two: Rolling):
         self.plan, self.one, self.two = plan, one, two
         self.order, self.ids, texts = ordered(table)
-        self.words = [x.split() for x in texts]
-        self.counts = np.array([len(x) for x in self.words], np.int64)
         self.texts = texts
-        arrays = [hashes.array(x) for x in self.words]
+        hashes = WordHashes()  # of this chunk alone: words that outlive it would keep the memory of all others from being used again
+        arrays = [hashes.array(x.split()) for x in texts]
+        self.counts = np.array([len(x) for x in arrays], np.int64)
         self.items = items = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-        del arrays
+        del arrays, hashes
         ends = np.cumsum(self.counts)
         self.begins = ends - self.counts
         n = max(0, len(items) - plan.width + 1)
@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
     plan = _Plan(width, words, depth, shard_windows, fan)
 
     def tools():
-        return WordHashes(), Rolling(FIRST), Rolling(SECOND)
+        return Rolling(FIRST), Rolling(SECOND)
 
     def out(rows: list) -> pa.Table:
         chunk, kind, shard, body = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -276,7 +276,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
         covered = np.cumsum(edge[:-1]) > 0
         absent = table.column("text").is_null().take(pa.array(chunk.order, pa.int64())).to_pylist()
         kept, removed, n_removed = [], [], []
-        for i, words in enumerate(chunk.words):
+        for i, text in enumerate(chunk.texts):
+            words = text.split()
             mask = covered[chunk.begins[i] : chunk.begins[i] + len(words)]
             n = int(mask.sum())
             n_removed.append(n)
@@ -286,7 +287,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, depth: int = 2, chunk_chars
                 kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m]))
             else:
                 removed.append([])
-                kept.append(b" ".join(words) if not keep_layout else None if absent[i] else chunk.texts[i])
+                kept.append(b" ".join(words) if not keep_layout else None if absent[i] else text)
         return pa.table({
             "doc_id": back(chunk.ids), "n_words": pa.array(chunk.counts), "n_removed": pa.array(n_removed, pa.int64()),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, pa.list_(pa.list_(pa.int32()))),
