@@ -305,6 +305,19 @@ def test_base32(spark):
     assert [r.b for r in bad] == [None, None, None]
 
 
+def test_base32_evaluates_its_input_once(spark, tmp_path):
+    assert [str(f(F.col("given"))).count("given") for f in (base32, unbase32)] == [1, 1]
+    spark.createDataFrame([(0, NOW, 1, "click", 1.0, "{}")], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    plan = catalogue.base32_ids(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("2654435761") == 1
+    raws = [bytes(range(255, 255 - n, -1)) for n in range(1, 22)] + [bytes(i * i % 251 for i in range(20001))]
+    got = spark.createDataFrame(list(enumerate(raws)), "i int, raw binary").select("i", base32(F.col("raw")).alias("t")).select("*", unbase32(F.col("t")).alias("back")).orderBy("i").collect()
+    standard = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", DIGITS.encode())
+    assert [(r.t, bytes(r.back)) for r in got] == [(base64.b32encode(raw).rstrip(b"=").translate(standard).decode(), raw) for raw in raws]
+    bad = ["A" * n for n in (9, 11, 14)] + ["AAAA2AAAAA", "AAAAAAAAA7", "AAAAAAAAAA\n", "\nAAAAAAAAA", "AAAAAAAAA\N{GRINNING FACE}"]
+    assert [r.b for r in spark.createDataFrame([(t,) for t in bad], "t string").select(unbase32(F.col("t")).alias("b")).collect()] == [None] * len(bad)
+
+
 def test_ring(spark):
     assert [cluster.fnv(x) for x in (b"", b"a", b"foobar")] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
     nodes = ["n1", "n2", "n3"]

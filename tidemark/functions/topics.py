@@ -100,23 +100,26 @@ def message_id_parts(raw: Column) -> Column:
 
 #: The digits of base32 texts: fixed values.
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"
+#: The same digits as conv() writes and reads them.
+_PLAIN = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def base32(raw: Column) -> Column:
-    """Five bits a digit, highest first, the last ones filled up with zero bits; no padding."""
-    octets = F.hex(raw)
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(octets), F.lit(2)), lambda i: F.lpad(F.conv(F.substring(octets, i, F.lit(2)), 16, 2), 8, "0")), "")
-    full = F.rpad(bits, (F.ceil(F.length(bits) / 5) * 5).cast("int"), F.lit("0"))
-    digits = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(5)), lambda i: F.substring(F.lit(DIGITS), F.conv(F.substring(full, i, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(F.length(raw) > 0, F.array_join(digits, "")).when(F.length(raw) == 0, "")
+    """Five bits a digit, highest first, the last ones filled up with zero bits; no padding.
+
+    Blocks of 5 bytes are 8 digits. raw stands once in the result, for Spark evaluates it again wherever it stands.
+    """
+    blocks = F.regexp_extract_all(F.hex(raw), F.lit(".{1,10}"), F.lit(0))
+    digits = F.transform(blocks, lambda b: F.substring(F.lpad(F.conv(F.rpad(b, 10, "0"), 16, 32), 8, "0"), F.lit(1), F.ceil(F.length(b) * 4 / 5).cast("int")))
+    return F.translate(F.array_join(digits, ""), _PLAIN, DIGITS)
 
 
 def unbase32(text: Column) -> Column:
-    """The bytes that base32 read; null where a character is no digit or the length is none that base32 gives."""
-    places = F.transform(F.split(text, ""), lambda c: F.when(c != "", F.position(c, F.lit(DIGITS)) - 1))
-    places = F.filter(places, lambda p: p.isNotNull())
-    bits = F.array_join(F.transform(places, lambda p: F.lpad(F.conv(p.cast("string"), 10, 2), 5, "0")), "")
-    size = F.floor(F.length(text) * 5 / 8).cast("int")
-    octets = F.transform(F.sequence(F.lit(1), size * 8, F.lit(8)), lambda i: F.lpad(F.conv(F.substring(bits, i, F.lit(8)), 2, 16), 2, "0"))
-    good = ~F.exists(places, lambda p: p < 0) & (F.length(text) == F.ceil(size * 8 / 5))
-    return F.when(F.length(text) == 0, F.lit(b"")).when(good & (size > 0), F.unhex(F.array_join(octets, "")))
+    """The bytes that base32 read; null where a character is no digit or the length is none that base32 gives.
+
+    Blocks of 8 digits are 5 bytes. text stands once in the result, as raw does in base32.
+    """
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,8}"), F.lit(0))
+    octets = lambda b: F.substring(F.lpad(F.conv(F.rpad(F.translate(b, DIGITS, _PLAIN), 8, "0"), 32, 16), 10, "0"), F.lit(1), F.floor(F.length(b) * 5 / 8).cast("int") * 2)
+    good = lambda b: b.rlike(r"\A[A-Za-f]+\z") & F.length(b).isin(2, 4, 5, 7, 8)
+    return F.unhex(F.array_join(F.transform(blocks, lambda b: F.when(good(b), octets(b)).otherwise("!")), ""))  # unhex gives null for "!"

@@ -317,7 +317,8 @@ def option_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def base32_ids(spark: SparkSession, d: str) -> DataFrame:
     raw = F.unhex(F.lpad(F.hex(F.col("seq") * 2654435761), 16, "0"))
-    return events_as_messages(spark, d).select("seq", base32(raw).alias("id"), F.conv(F.hex(unbase32(base32(raw))), 16, 10).cast("long").alias("again"))
+    ids = events_as_messages(spark, d).select("seq", base32(raw).alias("id"))
+    return ids.select("seq", "id", F.conv(F.hex(unbase32(F.col("id"))), 16, 10).cast("long").alias("again"))
 
 
 def publish_replies(spark: SparkSession, d: str) -> DataFrame:
